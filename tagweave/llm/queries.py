@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.catalog import ELEMENTS_SQL, RECORDS_SQL, form_sql
 from tagweave.functions.text import elements, tag_form
-from tagweave.llm import iceberg, overlap, terms, tokens
+from tagweave.llm import cooccur, iceberg, overlap, similar, terms, tokens
 from tagweave.operators.keyed import pairs_present
 from tagweave.session import table
 
@@ -68,6 +68,39 @@ def p4_found(spark, d):
     return p4_top(spark, d).select("tag")
 
 
+# ---- p5, p6 -------------------------------------------------------------------------------------
+
+
+def items_of_records(spark, d) -> DataFrame:
+    """(id, item) per element; the operators below form the sets themselves."""
+    return elements(replies(spark, d).filter("id IS NOT NULL"), keep=("id",)).select("id", F.col("tag").alias("item"))
+
+
+def p5_found(spark, d):
+    """Pairs of records of at least 4 tags with |A and B| / |A or B| >= 0.7."""
+    return similar.similar_pairs(items_of_records(spark, d), 0.7, least=4)
+
+
+def p5_classes(spark, d):
+    """Class of equal tag sets of each record, and its number of similar classes."""
+    return similar.class_members(items_of_records(spark, d), 0.7, least=4)
+
+
+def _pairs(spark, d) -> DataFrame:
+    return cooccur.cooccurrences(items_of_records(spark, d), "id", "item", min_count=5, min_share=0.002)
+
+
+def p6_found(spark, d):
+    """Pairs in at least 5 records and 0.2 % of them, four times as often as by chance."""
+    pairs = _pairs(spark, d).filter(F.col("n_ab") * F.col("n") >= 4 * F.col("n_a") * F.col("n_b"))
+    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p6_pairs(spark, d):
+    """All such pairs with their counts, factor over chance and significance."""
+    return _pairs(spark, d).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+
+
 # ---- p7 -----------------------------------------------------------------------------------------
 
 
@@ -80,7 +113,7 @@ def p7_decoded(spark, d):
     return tokens.decoded(p7_ids(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_terms, p4_found, p4_top, p7_ids, p7_decoded)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded)}
 
 _MEMBERS = f"""{RECORDS_SQL}, mem AS (
  SELECT 'root' AS origin, k, v AS id FROM (SELECT k, v, arg_max(op, seq) AS op FROM (SELECT {form_sql("k")} AS k, v, op, seq FROM hitchhiker_set_map WHERE root = 'audience' AND k IS NOT NULL AND v IS NOT NULL) GROUP BY ALL)
@@ -93,6 +126,14 @@ _TERMS = f"""{RECORDS_SQL}, tot AS (SELECT count(DISTINCT id) AS n FROM rec),
  fr AS (SELECT tag, count(*) AS n_elements, count(DISTINCT id) AS n_records FROM el GROUP BY tag),
  mk AS (SELECT *, CASE WHEN n_records > 0.5 * (SELECT n FROM tot) THEN 'common' WHEN n_records < 3 THEN 'rare' END AS mark FROM fr)"""
 
+_SIMILAR = f"""{RECORDS_SQL}, st AS (SELECT id, list(tag) AS tags, count(*) AS n FROM rec GROUP BY id HAVING count(*) >= 4), fq AS (SELECT tag, count(*) AS f FROM rec GROUP BY tag),
+ px AS (SELECT id, tag, n FROM (SELECT rec.id, rec.tag, st.n, row_number() OVER (PARTITION BY rec.id ORDER BY f, rec.tag) AS pos FROM rec JOIN st USING (id) JOIN fq USING (tag)) WHERE pos <= n - ceil(0.7 * n - 1e-9) + 1),
+ cd AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM px a JOIN px b ON a.tag = b.tag AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9),
+ pr AS (SELECT id_a, id_b FROM (SELECT id_a, id_b, len(list_intersect(a.tags, b.tags)) AS c, a.n + b.n AS t FROM cd JOIN st a ON a.id = id_a JOIN st b ON b.id = id_b) WHERE c >= 0.7 * (t - c) - 1e-9)"""
+_TOGETHER = f"""{RECORDS_SQL}, tn AS (SELECT count(DISTINCT id) AS n FROM rec), fq AS (SELECT tag, count(*) AS f FROM rec GROUP BY tag),
+ fr AS (SELECT id, tag, f FROM rec JOIN fq USING (tag), tn WHERE f >= 5 AND f >= 0.002 * n),
+ pc AS (SELECT a.tag AS tag_a, b.tag AS tag_b, any_value(a.f) AS n_a, any_value(b.f) AS n_b, count(*) AS n_ab, any_value(tn.n) AS n FROM fr a JOIN fr b ON a.id = b.id AND a.tag < b.tag, tn GROUP BY ALL HAVING count(*) >= 5 AND count(*) >= 0.002 * any_value(tn.n))"""
+
 SQL = {
     "p2_found": f"WITH {_MEMBERS} SELECT origin, key_a, key_b FROM os WHERE 3 * n_common >= size_a + size_b - n_common",
     "p2_overlaps": f"WITH {_MEMBERS} SELECT * FROM os",
@@ -100,5 +141,7 @@ SQL = {
     "p3_terms": f"WITH {_TERMS} SELECT tag, n_elements, n_records, mark FROM mk",
     "p4_found": f"WITH {ELEMENTS_SQL} SELECT tag FROM el GROUP BY tag HAVING count(*) >= 0.01 * (SELECT count(*) FROM el)",
     "p4_top": f"WITH {ELEMENTS_SQL} SELECT tag, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM el) AS share FROM el GROUP BY tag HAVING count(*) >= 0.01 * (SELECT count(*) FROM el)",
+    "p5_found": f"WITH {_SIMILAR} SELECT id_a, id_b FROM pr",
+    "p6_found": f"WITH {_TOGETHER} SELECT tag_a, tag_b FROM pc WHERE n_ab * n >= 4 * n_a * n_b",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

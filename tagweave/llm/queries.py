@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.catalog import ELEMENTS_SQL, RECORDS_SQL, form_sql
 from tagweave.functions.text import elements, tag_form
-from tagweave.llm import cooccur, iceberg, overlap, packing, similar, terms, tokens
+from tagweave.llm import cooccur, iceberg, overlap, packing, pii, similar, terms, tokens
 from tagweave.operators.keyed import pairs_present
 from tagweave.session import table
 
@@ -126,7 +126,20 @@ def p8_fill(spark, d):
     return packing.container_fill(p8_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded, p8_containers, p8_fill)}
+# ---- p9 -----------------------------------------------------------------------------------------
+
+
+def p9_found(spark, d):
+    """Personal information in every decision."""
+    return pii.found(table(spark, d, "documents"))
+
+
+def p9_redacted(spark, d):
+    """Every decision with placeholders in its stead."""
+    return pii.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_redacted)}
 
 _MEMBERS = f"""{RECORDS_SQL}, mem AS (
  SELECT 'root' AS origin, k, v AS id FROM (SELECT k, v, arg_max(op, seq) AS op FROM (SELECT {form_sql("k")} AS k, v, op, seq FROM hitchhiker_set_map WHERE root = 'audience' AND k IS NOT NULL AND v IS NOT NULL) GROUP BY ALL)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.session import cut
+
 HASHES = 4
 BUCKETS = 1 << 16
 
@@ -33,13 +35,13 @@ def heavy_hitters(rows: DataFrame, value: str = "tag", share: float = 0.01, hash
     are all kept; an empty table gives no row.
     """
     live = rows.select(value).filter(F.col(value).isNotNull())
-    coarse = coarse_counts(live, value, hashes, buckets)
-    counted = coarse.collect()  # hashes * buckets rows at most, whatever the table's size
-    total = sum(r.n for r in counted if r.h == 0)
+    coarse = cut(coarse_counts(live, value, hashes, buckets))
+    total = coarse.filter("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     need = share * total
+    counted = coarse.filter(F.col("n") >= F.lit(need)).select("h", "b").collect()  # hashes / share rows at most
     kept = live
     for h in range(hashes):
-        heavy = sorted(r.b for r in counted if r.h == h and r.n >= need)
+        heavy = sorted(r.b for r in counted if r.h == h)
         kept = kept.filter(bucket(F.col(value), h, buckets).isin(heavy) if heavy else F.lit(False))
     exact = kept.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     return exact.filter(F.col("n") >= F.lit(need)).withColumn("share", F.col("n") / F.lit(float(total or 1)))

@@ -95,7 +95,7 @@ def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ide
     out, repeated rows count once, negative identifiers are allowed, an empty table gives no row.
     The cost is pairs of sets per range, so `members` should hold the sets to compare only.
     """
-    live = cut(members.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(ident).cast("long").alias("id")).dropna())
+    live = cut(members.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(ident).cast("long").alias("id")).dropna().distinct())
     ranges = min(MAX_RANGES, -(-live.count() // per_range))
     bounds: list[int] = []
     if ranges > 1:
@@ -108,8 +108,7 @@ def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ide
         runs = {}
         for k, ids in rows.groupby("k", sort=True)["id"]:
             runs[k] = delta_encode(np.unique(ids.to_numpy()))
-        keys, g = list(runs), rows["g"].iloc[0]
-        out = [(k, k, len(runs[k][1]) + 1) for k in keys]
+        keys, g, out = list(runs), rows["g"].iloc[0], []
         for i, a in enumerate(keys):
             run = delta_decode(*runs[a])  # one run is unpacked per outer step and one per inner step
             for b in keys[i + 1 :]:
@@ -121,10 +120,9 @@ def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ide
 
     partial = ranged.groupBy("g", "r").applyInPandas(count_range, "g string, key_a string, key_b string, n bigint")
     summed = partial.groupBy("g", "key_a", "key_b").agg(F.sum("n").alias("n"))
-    size = summed.filter("key_a = key_b")
+    size = live.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
     return (
-        summed.filter("key_a < key_b")
-        .join(size.select("g", "key_a", F.col("n").alias("size_a")), ["g", "key_a"])
-        .join(size.select("g", "key_b", F.col("n").alias("size_b")), ["g", "key_b"])
+        summed.join(size.select("g", F.col("k").alias("key_a"), F.col("n").alias("size_a")), ["g", "key_a"])
+        .join(size.select("g", F.col("k").alias("key_b"), F.col("n").alias("size_b")), ["g", "key_b"])
         .select(F.col("g").alias(group), "key_a", "key_b", "size_a", "size_b", F.col("n").alias("n_common"))
     )

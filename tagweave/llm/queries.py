@@ -32,7 +32,7 @@ def compared_members(spark, d) -> DataFrame:
     log = log.join(wanted.filter("origin = 'root'").select("k"), "k", "left_semi")
     present = pairs_present(log, ["k", "id"]).select(F.lit("root").alias("origin"), "k", "id")
     tagged = elements(replies(spark, d).filter("id IS NOT NULL"), keep=("id",)).withColumnRenamed("tag", "k")
-    tagged = tagged.join(wanted.filter("origin = 'tags'").select("k"), "k", "left_semi").distinct()
+    tagged = tagged.join(wanted.filter("origin = 'tags'").select("k"), "k", "left_semi")
     return present.unionByName(tagged.select(F.lit("tags").alias("origin"), "k", "id"))
 
 

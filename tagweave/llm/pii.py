@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ CUT = re.compile(
 BLANK = re.compile(r"[ \t\r\n ]+")
 HIDDEN = re.compile(r"[█*…]|\[|\]")
 WORD = re.compile(r"[^\W\d_]{2,}")
+CAPITAL = re.compile(r"[A-ZÀ-ÖØ-ÞŁŚŠŽ][^\W\d_]|[ÃÂ][\u0080-\u00bf]")
 
 Span = tuple[int, int, str]
 
@@ -86,7 +88,7 @@ def proven(kind: str, text: str, before: str, behind: str) -> tuple[int, int] |
     elif kind == "ADDRESS":
         good = digits >= 1 and bool(WORD.search(found))
     else:
-        good = digits == 0 and bool(WORD.search(found))
+        good = digits == 0 and bool(CAPITAL.search(unicodedata.normalize("NFC", found)))
     return (a, b) if good and b > a else None
 
 

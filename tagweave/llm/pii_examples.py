@@ -371,9 +371,12 @@ def table(repeat: int = 12, seed: int = 20) -> list[tuple[str, list[tuple[int, i
                     text = make.one("[0] ", "Rn. 0: ", "§0 ", "(00) ", "0. ", "00 ")
                 for m in re.finditer(r"\{(\w)\}", pattern):
                     text += pattern[at : m.start()]
-                    value = make.fill(m[1], lang)
-                    if m[1] in LABELS:
-                        spans.append((len(text), len(text) + len(value), LABELS[m[1]]))
+                    slot = m[1]
+                    if slot in LABELS and make.r.random() < 0.12:  # one value of several may be blacked out
+                        slot = "r" if LABELS[slot] == "NAME" else "q"
+                    value = make.fill(slot, lang)
+                    if slot in LABELS:
+                        spans.append((len(text), len(text) + len(value), LABELS[slot]))
                     text += value
                     at = m.end()
                 text += pattern[at:]

@@ -35,8 +35,8 @@ def bitmaps(rows: DataFrame, term: str = "tag", record: str = "id") -> DataFrame
 
 
 def union(maps: DataFrame) -> DataFrame:
-    """(word, bits): the records that hold any term."""
-    return maps.filter("word IS NOT NULL").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    """(word, bits, occurrences): the records that hold any term; the null word, if any, has no bits."""
+    return maps.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum("occurrences").alias("occurrences"))
 
 
 def merge(a: DataFrame, b: DataFrame, term: str = "tag") -> DataFrame:
@@ -59,7 +59,9 @@ def frequencies(rows: DataFrame, term: str = "tag", record: str = "id", rare_bel
     An empty table gives no row.
     """
     maps = bitmaps(rows, term, record)
-    total = union(bitmaps(rows, term, record)).agg(F.sum(F.bit_count("bits"))).scalar()
+    # the condition always holds; with it the union reads the same columns as the count below, and
+    # Spark makes the bitmaps once for both
+    total = union(maps).filter("occurrences > 0").agg(F.sum(F.bit_count("bits"))).scalar()
     counted = maps.groupBy(term).agg(F.sum("occurrences").alias("n_elements"), F.sum(F.bit_count("bits")).alias("n_records"))
     share = F.col("n_records") / F.coalesce(total, F.lit(1))
     return counted.withColumn("mark", F.when(share > common_above, "common").when(F.col("n_records") < rare_below, "rare"))

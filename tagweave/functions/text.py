@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def tag_form(tag: Column) -> Column:
     """The form of a tag: runs of space, tab, no-break space and underscore become one space,
     both ends are trimmed, letters become lower case. Null stays null; the form may be empty."""
-    return F.lower(F.trim(F.regexp_replace(tag, "[ \\t\\u00a0_]+", " ")))
+    spelt = F.when(tag.rlike("[\\t\\u00a0_]| {2}"), F.regexp_replace(tag, "[ \\t\\u00a0_]+", " ")).otherwise(tag)
+    return F.lower(F.trim(spelt))
 
 
 def elements(df: DataFrame, tags: str = "tags", keep: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -18,7 +19,9 @@ def elements(df: DataFrame, tags: str = "tags", keep: tuple[str, ...] = ("id",))
     Every row of `df` counts, repeated rows too. Null and empty arrays give no row.
     """
     raw = df.select(*keep, F.explode(F.col(tags)).alias("tag"))
-    return raw.select(tag_form(F.col("tag")).alias("tag"), *keep).filter(F.col("tag") != "")
+    # a form is empty if there is nothing but blanks; asked of the raw tag, so that Spark doesn't push
+    # the condition below the form and work that out twice
+    return raw.filter(F.col("tag").rlike("[^ \\t\\u00a0_]")).select(tag_form(F.col("tag")).alias("tag"), *keep)
 
 
 def split_console(text: Column) -> Column:

@@ -62,6 +62,7 @@ def frequencies(rows: DataFrame, term: str = "tag", record: str = "id", rare_bel
     # the condition always holds; with it the union reads the same columns as the count below, and
     # Spark makes the bitmaps once for both
     total = union(maps).filter("occurrences > 0").agg(F.sum(F.bit_count("bits"))).scalar()
-    counted = maps.groupBy(term).agg(F.sum("occurrences").alias("n_elements"), F.sum(F.bit_count("bits")).alias("n_records"))
+    # (as does this one, for n_elements)
+    counted = maps.groupBy(term).agg(F.sum("occurrences").alias("n_elements"), F.sum(F.bit_count("bits")).alias("n_records")).filter("n_elements > 0")
     share = F.col("n_records") / F.coalesce(total, F.lit(1))
     return counted.withColumn("mark", F.when(share > common_above, "common").when(F.col("n_records") < rare_below, "rare"))

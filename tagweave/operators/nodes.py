@@ -30,11 +30,11 @@ def node_of_key(keys: DataFrame, nodes: DataFrame, key: str = "k") -> DataFrame:
     belongs to the node that begins there.
 
     `nodes` is an index of separators. As a sorted literal array it is looked up with a binary
-    search; it is taken to the driver only up to 10,000 nodes, beyond that a window finds the
+    search; it is taken to the driver only up to 512 nodes, beyond that a window finds the
     greatest lower bound among keys and bounds of one bucket.
     """
-    some = nodes.select("node_id", "lo").limit(10_001).collect()
-    if len(some) <= 10_000:
+    some = nodes.select("node_id", "lo").limit(513).collect()
+    if len(some) <= 512:
         first = [r.node_id for r in some if r.lo is None]
         rows = sorted((r.lo, r.node_id) for r in some if r.lo is not None)
         if not some:

@@ -12,7 +12,7 @@ from tagweave.operators import nodes as nd
 from tagweave.operators.buffer import BufferedMap
 from tagweave.operators.eager import eager_join, with_share
 from tagweave.operators.keyed import MapTable, SetMapTable, SetTable, latest, pairs_present, unnest
-from tagweave.operators.search import TagIndex, decode_requests, search_batch, tokenized, top
+from tagweave.operators.search import TagIndex, decode_requests, hit_counts, search_batch, search_words, tokenized, top
 from tagweave.plans.replica import Replica
 from tagweave.plans.snapshot import manifest, root, to_fetch
 from tagweave.session import table
@@ -193,8 +193,8 @@ def search_requests(spark, d):
     """Hits of every search in `user_cmds` over the tags of `search_response_info`, counted."""
     index = reply_index(spark, d)
     asked = decode_requests(table(spark, d, "user_cmds")).filter("kind = 'Search' AND cmd_id IS NOT NULL").select("cmd_id", "wanted").dropDuplicates(["cmd_id"])
-    hits, _ = search_batch(index.tags, asked)
-    return hits.groupBy("cmd_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    hits, _ = search_words(index.tags, asked)
+    return hit_counts(hits)
 
 
 def search_requests_unknown(spark, d):

@@ -1,0 +1,20 @@
+"""Sets of bigint identifiers as 64-bit words: identifier i is bit i mod 64 of word i div 64."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def word_of(ident: Column) -> Column:
+    return F.shiftright(ident, 6)
+
+
+def bit_of(ident: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), ident.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def idents_of(word: Column, bits: Column) -> Column:
+    """Array of the identifiers of a word."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.call_function("getbit", bits, p) == 1)
+    return F.transform(places, lambda p: F.shiftleft(word, 6) + p)

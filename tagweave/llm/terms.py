@@ -9,21 +9,15 @@ by its word numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.bits import bit_of, word_of
+
 RARE_BELOW = 3
 COMMON_ABOVE = 0.5
 
 
-def word_of(record: Column) -> Column:
-    return F.shiftright(record, 6)
-
-
-def bit_of(record: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), record.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def bitmaps(rows: DataFrame, term: str = "tag", record: str = "id") -> DataFrame:
     """(term, word, bits, occurrences) of rows (term, record), record a bigint.
 

@@ -25,8 +25,8 @@ _TAIL = r"(?:(?:(?<=[ÃÂ])[\u0080-\u00bf]|[\u0300-\u036f\u00ad])+(?:[^\W\d_]+)?
 _WORD = rf"(?:[DOdo][’'](?=[^\W\d_]))?{_LETTERS}{_TAIL}(?:-{_LETTERS}{_TAIL})*"
 _PLAIN = rf"{_WORD}|[0-9]+|[█*]+|\S"
 _MAIL = r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\(AT\)|\[AT\])\s?[\w\-]+(?:(?:\.|\[dot\]|\(dot\)|\[DOT\]|\(DOT\))[\w\-]+)+"
-TOKEN = re.compile(rf"(\s*)({_PLAIN})")
-TOKEN_OR_MAIL = re.compile(rf"(\s*)({_MAIL}|{_PLAIN})")
+TOKEN = re.compile(rf"\s*(?:{_PLAIN})")
+TOKEN_OR_MAIL = re.compile(rf"\s*(?:{_MAIL}|{_PLAIN})")
 MAIL = re.compile(r"(?:@|\(at\)|\[at\])", re.I)
 _TO_ZERO = bytes.maketrans(b"123456789", b"000000000")
 
@@ -36,31 +36,29 @@ def zeroed(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").translate(_TO_ZERO).decode("utf-8", "surrogatepass")
 
 
-def split(text: str) -> list[tuple[str, str]]:
-    """(white space in front, token) of each token; white space at the end is left out."""
+def split(text: str) -> list[str]:
+    """The tokens with the white space in front of them; white space at the end is left out."""
     return (TOKEN_OR_MAIL if MAIL.search(text) else TOKEN).findall(text)
 
 
-def types_of(parts: list[tuple[str, str]]) -> list[str]:
-    """Types of tokens: a token, with a blank before it if it is set off from the one in front."""
-    out = [" " + token if gap else token for gap, token in parts]
-    if out and not parts[0][0]:
-        out[0] = " " + out[0]
-    return out
+def types_of(parts: list[str]) -> list[str]:
+    """Types of tokens: a token and whether white space sets it off from the one in front. A token
+    that begins a text is set off."""
+    return [" " + parts[0], *parts[1:]] if parts else []
 
 
-def places_of(parts: list[tuple[str, str]]) -> list[tuple[int, int]]:
+def places_of(parts: list[str]) -> list[tuple[int, int]]:
     out, at = [], 0
-    for gap, token in parts:
-        at += len(gap)
-        out.append((at, at + len(token)))
-        at += len(token)
+    for part in parts:
+        at += len(part)
+        out.append((at - len(part.lstrip()), at))
     return out
 
 
 def features(kind: str) -> list[str]:
     """Features of a token type."""
-    spaced, word = kind[:1] == " ", kind[1:] if kind[:1] == " " else kind
+    word = kind.lstrip()
+    spaced = len(word) < len(kind)
     gap = "s" if spaced else "j"
     if len(word) > 3 and MAIL.search(word):
         return ["mail", gap]
@@ -111,7 +109,7 @@ class Crf:
         return n
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Labels of each sequence of token types."""
+        """Labels of each sequence of token types; none at all where every label is O."""
         if len(self.types) > 150_000:
             self.types, self.rows = {}, np.zeros((len(OFFSETS), 1024, len(LABELS)), np.float32)
         get, number = self.types.get, self.number
@@ -167,7 +165,8 @@ class Crf:
             found[t, :k] = label[:k]
             if t:
                 label[:k] = np.take_along_axis(back[t, :k], label[:k, None].astype(np.int64), 1)[:, 0]
-        return [found[: lengths[i], i] for i in range(n)]
+        nothing = found[:0, 0]
+        return [found[:k, i] if hit else nothing for i, (k, hit) in enumerate(zip(lengths.tolist(), (found != 0).any(0).tolist()))]
 
 
 def label_tokens(spans: list[tuple[int, int]], marked: list[tuple[int, int, str]]) -> list[int]:

@@ -134,7 +134,7 @@ class Finder:
         if new:
             tokens = [crf.split(s) for s in new]
             for s, parts, labels in zip(new, tokens, self.tagger.decode([crf.types_of(t) for t in tokens])):
-                self.known[s] = spans_of(labels, crf.places_of(parts), s) if labels.any() else ()
+                self.known[s] = spans_of(labels, crf.places_of(parts), s) if len(labels) else ()
         known = self.known
         return [[(at + a, at + b, kind) for at, s in parts for a, b, kind in known[s]] for parts in cut]
 

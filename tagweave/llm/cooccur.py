@@ -25,6 +25,7 @@ from tagweave.operators.nodes import ordered_index
 from tagweave.session import cut
 
 WIDE = 1_000
+JUDGED = 1_000  # combinations of counts at a time
 
 
 def rounded(n: Column, digits: int, exact: int) -> Column:
@@ -167,30 +168,49 @@ def cooccurrences(rows: DataFrame, basket: str = "id", item: str = "tag", min_co
     lookup = kept.select("item", "code")
     coded = whole.select("id", F.explode("items").alias("item")).join(lookup, "item").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     counted = pair_counts(coded).filter(F.col("n_ab") >= need)
+    sized = counted.join(kept.select(F.col("code").alias("a"), F.col("d").alias("n_a")), "a").join(kept.select(F.col("code").alias("b"), F.col("d").alias("n_b")), "b")
     named = counted.join(kept.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("d").alias("n_a")), "a").join(kept.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("d").alias("n_b")), "b")
 
+    def judge(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(expected, log10 of the upper tail) of each row; rows of equal counts are judged together."""
+        kinds, at = np.unique(p[["n_a", "n_b", "n_ab"]].to_numpy(), axis=0, return_inverse=True)
+        expected, tail = np.empty(len(kinds)), np.empty(len(kinds))
+        for i in range(0, len(kinds), JUDGED):
+            n_a, n_b, n_ab = kinds[i : i + JUDGED].T
+            q = null.chances(n_a) * null.chances(n_b)
+            expected[i : i + JUDGED], tail[i : i + JUDGED] = (q * null.m).sum(1), log_tail(n_ab, q, null.m)
+        at = at.reshape(-1)
+        return expected[at], (tail / math.log(10))[at]
+
+    def tails(batches):
+        for p in batches:
+            if len(p):
+                yield pd.DataFrame({"log10_p": judge(p)[1], "times": p["times"]})
+
     def surprise(batches):
         for p in batches:
             if not len(p):
                 continue
-            q = null.chances(p["n_a"].to_numpy()) * null.chances(p["n_b"].to_numpy())
-            tail = np.concatenate([log_tail(p["n_ab"].to_numpy()[i : i + 20_000], q[i : i + 20_000], null.m) for i in range(0, len(p), 20_000)])
             out = pd.DataFrame({c: p[c] for c in ("item_a", "item_b", "n_a", "n_b", "n_ab")})
             out.insert(2, "n", n)
             out["lift"] = p["n_ab"] * float(n) / (p["n_a"].astype(float) * p["n_b"])
-            out["expected"] = (q * null.m).sum(1)
-            out["log10_p"] = tail / math.log(10)
+            out["expected"], out["log10_p"] = judge(p)
             yield out
 
-    judged = cut(named.select("item_a", "item_b", "n_a", "n_b", "n_ab").mapInPandas(surprise, schema))
-    return judged.withColumn("significant", F.col("log10_p") <= F.lit(threshold_log10(judged, tested * (tested - 1) // 2, rate)))
+    # the pairs can be far more than the rows: they are counted twice and never stored; the threshold
+    # needs how often each combination of counts occurs only
+    kinds = sized.groupBy("n_a", "n_b", "n_ab").agg(F.count(F.lit(1)).alias("times"))
+    threshold = threshold_log10(kinds.mapInPandas(tails, "log10_p double, times bigint"), tested * (tested - 1) // 2, rate)
+    judged = named.select("item_a", "item_b", "n_a", "n_b", "n_ab").mapInPandas(surprise, schema)
+    return judged.withColumn("significant", F.col("log10_p") <= F.lit(threshold))
 
 
-def threshold_log10(judged: DataFrame, hypotheses: int, rate: float) -> float:
+def threshold_log10(tails: DataFrame, hypotheses: int, rate: float) -> float:
     """The Benjamini-Hochberg threshold on log10 p, from a histogram of at most 10,000 bins of 0.01; a
-    bin counts with its largest p, so the rate is kept. Pairs that aren't in `judged` count as p = 1."""
+    bin counts with its largest p, so the rate is kept. `tails` has rows (log10_p, times); pairs that
+    aren't in it count as p = 1."""
     bin_of = F.least(F.floor(-F.col("log10_p") * 100), F.lit(9_999)).cast("int")
-    bins = sorted(((r.b, r.n) for r in judged.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    bins = sorted(((r.b, r.n) for r in tails.groupBy(bin_of.alias("b")).agg(F.sum("times").alias("n")).collect()), reverse=True)
     seen, best = 0, -math.inf
     for b, k in bins:
         seen += k

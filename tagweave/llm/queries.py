@@ -86,19 +86,19 @@ def p5_classes(spark, d):
     return similar.class_members(items_of_records(spark, d), 0.7, least=4)
 
 
-def _pairs(spark, d) -> DataFrame:
-    return cooccur.cooccurrences(items_of_records(spark, d), "id", "item", min_count=5, min_share=0.002)
+def _pairs(spark, d, min_count: int, min_share: float) -> DataFrame:
+    return cooccur.cooccurrences(items_of_records(spark, d), "id", "item", min_count=min_count, min_share=min_share)
 
 
 def p6_found(spark, d):
     """Pairs in at least 5 records and 0.2 % of them, four times as often as by chance."""
-    pairs = _pairs(spark, d).filter(F.col("n_ab") * F.col("n") >= 4 * F.col("n_a") * F.col("n_b"))
+    pairs = _pairs(spark, d, 5, 0.002).filter(F.col("n_ab") * F.col("n") >= 4 * F.col("n_a") * F.col("n_b"))
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
 def p6_pairs(spark, d):
-    """All such pairs with their counts, factor over chance and significance."""
-    return _pairs(spark, d).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
+    """Every pair of tags that some record holds, with its counts, factor over chance and significance."""
+    return _pairs(spark, d, 1, 0.0).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
 
 
 # ---- p7 -----------------------------------------------------------------------------------------

@@ -202,6 +202,20 @@ def test_cooccurrences(spark):
     assert shared == {p for p, n in pair.items() if n >= 30}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_p6_pairs_has_every_pair_of_tags(spark):
+    held = {}
+    for x in queries.records(spark, DATA).collect():
+        held.setdefault(x.id, set()).add(x.tag)
+    single, pair = Counter(), Counter()
+    for s in held.values():
+        single.update(s)
+        pair.update(combinations(sorted(s), 2))
+    got = queries.p6_pairs(spark, DATA).collect()
+    assert {(x.tag_a, x.tag_b): (x.n, x.n_a, x.n_b, x.n_ab) for x in got} == {(a, b): (len(held), single[a], single[b], n) for (a, b), n in pair.items()}
+    assert len(got) == len(pair) and all(math.isclose(x.lift, x.n_ab * x.n / (x.n_a * x.n_b)) for x in got)
+
+
 def test_wide_baskets(spark):
     frame = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [2, 3])], "id bigint, codes array<bigint>")
     for wide in (1, 10):

@@ -87,13 +87,16 @@ def range_of(ident: Column, bounds: list[int]) -> Column:
     return F.size(F.filter(edges, lambda b: b <= ident))
 
 
-def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ident: str = "id", per_range: int = MEMBERS, ratio: int = RATIO) -> DataFrame:
+def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ident: str = "id", per_range: int = MEMBERS, ratio: int = RATIO, wanted: DataFrame | None = None) -> DataFrame:
     """(group, key_a, key_b, size_a, size_b, n_common) of every pair of keys of one group that share
     an identifier, key_a < key_b.
 
     `members` has rows (group, key, ident), ident a bigint; rows with a null in any of them are left
     out, repeated rows count once, negative identifiers are allowed, an empty table gives no row.
     The cost is pairs of sets per range, so `members` should hold the sets to compare only.
+
+    With `wanted`, rows (group, key), the result is every pair of its keys of one group instead, with
+    0 where they share nothing or a key has no members.
     """
     live = cut(members.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(ident).cast("long").alias("id")).dropna().distinct())
     ranges = min(MAX_RANGES, -(-live.count() // per_range))
@@ -121,6 +124,16 @@ def overlap_sizes(members: DataFrame, group: str = "origin", key: str = "k", ide
     partial = ranged.groupBy("g", "r").applyInPandas(count_range, "g string, key_a string, key_b string, n bigint")
     summed = partial.groupBy("g", "key_a", "key_b").agg(F.sum("n").alias("n"))
     size = live.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"))
+    if wanted is not None:
+        keys = wanted.select(F.col(group).alias("g"), F.col(key).alias("k")).dropna().distinct()
+        pairs = keys.withColumnRenamed("k", "key_a").join(keys.withColumnRenamed("k", "key_b"), "g").filter("key_a < key_b")
+        none = F.lit(0).cast("long")
+        return (
+            pairs.join(summed, ["g", "key_a", "key_b"], "left")
+            .join(size.select("g", F.col("k").alias("key_a"), F.col("n").alias("size_a")), ["g", "key_a"], "left")
+            .join(size.select("g", F.col("k").alias("key_b"), F.col("n").alias("size_b")), ["g", "key_b"], "left")
+            .select(F.col("g").alias(group), "key_a", "key_b", *[F.coalesce(c, none).alias(to) for c, to in (("size_a", "size_a"), ("size_b", "size_b"), ("n", "n_common"))])
+        )
     return (
         summed.join(size.select("g", F.col("k").alias("key_a"), F.col("n").alias("size_a")), ["g", "key_a"])
         .join(size.select("g", F.col("k").alias("key_b"), F.col("n").alias("size_b")), ["g", "key_b"])

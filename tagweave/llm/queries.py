@@ -41,6 +41,11 @@ def p2_overlaps(spark, d):
     return overlap.overlap_sizes(compared_members(spark, d))
 
 
+def p2_compared(spark, d):
+    """Shared identifiers of every pair of compared sets, 0 where they share none or one has no members."""
+    return overlap.overlap_sizes(compared_members(spark, d), wanted=table(spark, d, "compared_sets"))
+
+
 def p2_found(spark, d):
     """Pairs with |A and B| / |A or B| >= 1/3."""
     pairs = p2_overlaps(spark, d)
@@ -139,7 +144,7 @@ def p9_redacted(spark, d):
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p2_compared, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_redacted)}
 
 _MEMBERS = f"""{RECORDS_SQL}, mem AS (
  SELECT 'root' AS origin, k, v AS id FROM (SELECT k, v, arg_max(op, seq) AS op FROM (SELECT {form_sql("k")} AS k, v, op, seq FROM hitchhiker_set_map WHERE root = 'audience' AND k IS NOT NULL AND v IS NOT NULL) GROUP BY ALL)

@@ -52,6 +52,25 @@ def test_overlap_sizes(spark):
     assert overlap.overlap_sizes(frame.limit(0)).collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_p2_compared_has_every_pair(spark):
+    sets = {}
+    for x in queries.compared_members(spark, DATA).collect():
+        sets.setdefault((x.origin, x.k), set()).add(x.id)
+    keys = sorted({(x.origin, x.k) for x in queries.table(spark, DATA, "compared_sets").collect()})
+    want = {(g, a, b): (sets.get((g, a), set()), sets.get((g, b), set())) for (g, a), (h, b) in combinations(keys, 2) if g == h}
+    rows = queries.QUERIES["p2_compared"](spark, DATA).collect()
+    assert {tuple(x) for x in rows} == {(*k, len(a), len(b), len(a & b)) for k, (a, b) in want.items()} and len(rows) == len(want)
+    assert any(x.n_common == 0 for x in rows)
+
+
+def test_overlap_sizes_of_wanted_keys(spark):
+    frame = spark.createDataFrame([("x", "a", 1), ("x", "a", 2), ("x", "b", 3), ("x", "c", 2), ("y", "a", 1)], "origin string, k string, id bigint")
+    wanted = spark.createDataFrame([("x", k) for k in "abcda"] + [("y", "a"), ("y", "e"), ("x", None)], "origin string, k string")
+    want = {("x", "a", "b", 2, 1, 0), ("x", "a", "c", 2, 1, 1), ("x", "a", "d", 2, 0, 0), ("x", "b", "c", 1, 1, 0), ("x", "b", "d", 1, 0, 0), ("x", "c", "d", 1, 0, 0), ("y", "a", "e", 1, 0, 0)}
+    assert sorted(map(tuple, overlap.overlap_sizes(frame, wanted=wanted).collect())) == sorted(want)
+
+
 # ---- terms, heavy hitters -----------------------------------------------------------------------
 
 

@@ -24,7 +24,8 @@ _LETTERS = r"[^\W\d_]+"
 _TAIL = r"(?:(?:(?<=[ÃÂ])[\u0080-\u00bf]|[\u0300-\u036f\u00ad])+(?:[^\W\d_]+)?)*"
 _WORD = rf"(?:[DOdo][’'](?=[^\W\d_]))?{_LETTERS}{_TAIL}(?:-{_LETTERS}{_TAIL})*"
 _PLAIN = rf"{_WORD}|[0-9]+|[█*]+|\S"
-_MAIL = r"[\w.+\-]+\s?(?:@|\(at\)|\[at\]|\(AT\)|\[AT\])\s?[\w\-]+(?:(?:\.|\[dot\]|\(dot\)|\[DOT\]|\(DOT\))[\w\-]+)+"
+_WRAP = r"(?:\r\n|\s)?"
+_MAIL = rf"[\w.+\-]+{_WRAP}(?:@|\(at\)|\[at\]|\(AT\)|\[AT\]){_WRAP}[\w\-]+(?:(?:\.|\[dot\]|\(dot\)|\[DOT\]|\(DOT\))[\w\-]+)+"
 TOKEN = re.compile(rf"\s*(?:{_PLAIN})")
 TOKEN_OR_MAIL = re.compile(rf"\s*(?:{_MAIL}|{_PLAIN})")
 MAIL = re.compile(r"(?:@|\(at\)|\[at\])", re.I)

@@ -154,6 +154,14 @@ def test_finds_and_placeholders(spark):
     assert pii.found(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("mail", ["c.lachin+files{}(at) morvan-legal.example", "m.markoux @{}boite.example", "m.markoux{}@{}boite.example"])
+def test_addresses_wrapped_with_any_line_end(mail):
+    finder = pii.Finder(pii.model())
+    for end in ("\n", "\r\n"):
+        text = f"Notice was sent by email to {mail.replace('{}', end)}. The third ground was not pursued."
+        assert [(text[a:b], kind) for a, b, kind in finder.find([text])[0]] == [(mail.replace("{}", end), "EMAIL")]
+
+
 def test_segments_keep_offsets():
     text = "Rn. 0: One sentence here. Next one (0). Last\n\nblock; Mr X"
     assert all(text[at : at + len(part)] == part for at, part in pii.segments(text))

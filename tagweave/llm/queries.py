@@ -82,7 +82,13 @@ def items_of_records(spark, d) -> DataFrame:
 
 
 def p5_found(spark, d):
-    """Pairs of records of at least 4 tags with |A and B| / |A or B| >= 0.7."""
+    """Pairs of records of at least 4 tags with |A and B| / |A or B| >= 0.7.
+
+    Not the complete list where more than 1,000 records have equal sets: such a class, whose id is its
+    least record, has only the pairs of that record with each copy and with each partner, and the
+    columns don't tell. For every pair, put all records of the same class in `p5_classes` in the place
+    of either side of each row, and add the pairs within each class.
+    """
     return similar.similar_pairs(items_of_records(spark, d), 0.7, least=4)
 
 

@@ -156,6 +156,21 @@ def test_copies_above_the_limit_hang_on_their_representative(spark, sets):
     assert members == {**{i: (1000, 1) for i in range(1000, 1020)}, 2000: (2000, 1)}
 
 
+def test_classes_expand_to_every_pair(spark):
+    same = {f"q{t}" for t in range(6)}
+    groups = {**{i: same for i in range(1000, 1020)}, **{i: same - {"q0"} for i in range(2000, 2012)}, 3000: same | {"r"}, 4000: {"a", "b", "c", "d"}}
+    frame = spark.createDataFrame([(i, t) for i, s in groups.items() for t in s], "id bigint, item string")
+    class_of = {x.id: x.class_id for x in similar.class_members(frame, 0.7, 4).collect()}
+    of_class = {}
+    for i, c in class_of.items():
+        of_class.setdefault(c, []).append(i)
+    found = similar.similar_pairs(frame, 0.7, 4, expand=10).collect()
+    across = {tuple(sorted((a, b))) for x in found for a in of_class[class_of[x.id_a]] for b in of_class[class_of[x.id_b]] if a != b}
+    within = {p for ids in of_class.values() for p in combinations(sorted(ids), 2)}
+    assert across | within == {(a, b) for a, b in combinations(sorted(groups), 2) if jaccard(groups[a], groups[b]) >= 0.7}
+    assert "p5_classes" in queries.p5_found.__doc__
+
+
 def test_similar_pairs_of_nothing(spark):
     frame = spark.createDataFrame([], "id bigint, item string")
     assert similar.similar_pairs(frame).collect() == [] and similar.class_members(frame).collect() == []

@@ -86,6 +86,10 @@ class MapTable:
     def lookup_many(self, keys: DataFrame) -> DataFrame:
         return self.df.join(keys.select(self.key).distinct(), self.key, "left_semi")
 
+    def split(self, key: object) -> tuple[MapTable, MapTable]:
+        """The parts with keys below `key`, and from it on."""
+        return MapTable(self.df.filter(F.col(self.key) < F.lit(key)), self.key), MapTable(self.df.filter(F.col(self.key) >= F.lit(key)), self.key)
+
 
 @dataclass(frozen=True)
 class SetTable:
@@ -137,6 +141,10 @@ class SetTable:
         """Algebraic union: an empty side gives the other one."""
         return SetTable.of(self.df.union(other.df))
 
+    def split(self, key: object) -> tuple[SetTable, SetTable]:
+        """The parts with keys below `key`, and from it on."""
+        return SetTable(self.df.filter(F.col("k") < F.lit(key))), SetTable(self.df.filter(F.col("k") >= F.lit(key)))
+
 
 @dataclass(frozen=True)
 class SetMapTable:
@@ -175,6 +183,10 @@ class SetMapTable:
     def lookup_many(self, keys: Iterable[object]) -> DataFrame:
         return self.df.filter(F.col("k").isin(*keys))
 
+    def split(self, key: object) -> tuple[SetMapTable, SetMapTable]:
+        """The parts with keys below `key`, and from it on."""
+        return SetMapTable(self.df.filter(F.col("k") < F.lit(key))), SetMapTable(self.df.filter(F.col("k") >= F.lit(key)))
+
     def sizes(self) -> DataFrame:
         return self.df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 

@@ -56,6 +56,21 @@ def test_map_insert_lookup_delete(spark):
     assert pairs(MapTable.empty(spark, "k bigint, v string").insert(1, "a").df) == {1: "a"}
 
 
+@pytest.mark.parametrize("key", [0, 1, 2, 3, 9])
+def test_split_at_a_key(spark, key):
+    rows = [(1, 5), (2, 6), (2, 7), (3, 8)]
+    frame = spark.createDataFrame(rows, "k bigint, v bigint")
+    below, above = SetMapTable.of(frame).split(key)
+    assert sorted(map(tuple, below.df.collect())) == [x for x in rows if x[0] < key]
+    assert sorted(map(tuple, above.df.collect())) == [x for x in rows if x[0] >= key]
+    below, above = SetTable.of(frame).split(key)
+    assert sorted(x.k for x in below.df.collect()) == [k for k in (1, 2, 3) if k < key]
+    assert sorted(x.k for x in above.df.collect()) == [k for k in (1, 2, 3) if k >= key]
+    below, above = MapTable(frame.filter("v <> 7").withColumnRenamed("k", "name"), "name").split(key)
+    assert pairs(below.df) == {k: v for k, v in ((1, 5), (2, 6), (3, 8)) if k < key}
+    assert pairs(above.insert(10, 0).df) == {**{k: v for k, v in ((1, 5), (2, 6), (3, 8)) if k >= key}, 10: 0}
+
+
 def test_buffered_read_is_the_same_after_compaction(spark, tmp_path):
     rows = log_rows(5, 80)
     base = MapTable.from_log(spark.createDataFrame(rows[:40], SCHEMA)).df

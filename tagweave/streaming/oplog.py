@@ -29,9 +29,3 @@ def published(base: DataFrame, delta_dir: str, width: int = 16) -> DataFrame:
     """Manifest of base (+) everything that has arrived."""
     delta = base.sparkSession.read.parquet(delta_dir).drop("batch")
     return manifest(BufferedMap(base, delta).read().df, width)
-
-
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Operations per key and time window of a stream; rows later than `late` are dropped by the
-    watermark, which bounds the state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), F.col(key)).agg(F.count(F.lit(1)).alias("n"))

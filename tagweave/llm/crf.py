@@ -14,10 +14,13 @@ from collections import Counter
 
 import numpy as np
 
+from tagweave.llm.pii_examples import GIVEN
+
 #: Names may follow one another without a word between them, so they have a label for their first
 #: token; of the other kinds each run of tokens is one find.
 LABELS = ["O", "B-NAME", "I-NAME", "I-ADDRESS", "I-EMAIL", "I-ID", "I-PHONE"]
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+PAIRS = (-2, -1, 0, 1)  # the class of a neighbour at this offset with that of the next
 
 _LETTERS = r"[^\W\d_]+"
 #: Combining marks, soft hyphens, and the second half of a letter that was wrongly decoded into two.
@@ -56,6 +59,31 @@ def places_of(parts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+#: Kinds of words, for words that a text uses and the training table doesn't: fixed lists of common words.
+CLASSES = {
+    "title": "mr mrs ms miss dr sir madam judge justice professor prof captain sergeant inspector herr herrn frau ra rain rechtsanwalt rechtsanwältin monsieur madame mademoiselle mme mlle me maître docteur señor señora sr sra srta don doña dña dra juez jueza doctor doctora",
+    "role": "witness plaintiff defendant claimant respondent appellant applicant driver nurse doctor teacher lawyer counsel clerk mayor chairman director secretary surveyor interpreter neighbour tenant landlord buyer seller mother father sister brother wife husband son daughter zeuge zeugin kläger klägerin beklagte angeklagte fahrer richter richterin gutachter nachbar mutter vater schwester bruder bürgermeister übersetzerin notar erblasserin témoin avocat avocate juge notaire maire prévenue expert experte chauffeur mère père sœur frère fils fille interprète gérant testigo letrado letrada abogado abogada magistrado magistrada notario alcalde acusada acusado perito perita madre padre hermana hermano hijo hija intérprete conductor",
+    "firm": "ltd limited plc llc inc corp llp gmbh ag kg ohg se eg sa sarl sas sci sl cie bros bank banco banque sparkasse trust group holdings company co sons söhne fils hijos mutual insurance versicherung assurances seguros university universität université universidad",
+    "street": "street road lane avenue drive court close way terrace square gardens place crescent hill walk boulevard mews rise st ave rd blvd row yard green grove rue quai impasse allée chemin cours route passage calle plaza avenida paseo camino ronda avda travesía cuesta straße gasse weg allee platz ring damm ufer markt",
+    "body": "court tribunal council ministry office department state board committee commission parliament government gericht landgericht amtsgericht oberlandesgericht finanzamt ministerium gemeinde stadt land kammer senat cour conseil ministère préfecture mairie chambre juzgado audiencia ayuntamiento ministerio sala junta corte",
+    "phone": "tel telephone phone mobile fax call ring dial switchboard telefon mobil rufnummer durchwahl handy zentrale téléphone tél portable télécopie appeler standard teléfono móvil llamar fono extensión centralita",
+    "ident": "ssn passport identity insurance security tax ni nino tin id medicare pass reisepass ausweis personalausweis steuer steuernummer versicherungsnummer rentenversicherungsnummer passeport sécurité fiscal identité nir pasaporte dni nif nie documento seguridad afiliación",
+    "file": "invoice docket case file register number no exhibit clause section article page paragraph rechnung aktenzeichen az akte blatt hrb seite anlage rn facture affaire dossier pièce page pourvoi factura asunto autos folio expediente página recurso rollo",
+    "month": " ".join(m for months in ("january february march april may june july august september october november december", "januar februar märz mai juni juli oktober dezember", "janvier février mars avril juin juillet août septembre octobre novembre décembre", "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonntag") for m in months.split()),
+    "mark": "von van der den de del la las los du des di da dos zu zum le el mac",
+    "land": "england scotland wales ireland france germany spain italy poland europe america bayern sachsen hessen deutschland österreich schweiz frankreich europa bretagne normandie alsace provence suisse belgique allemagne espagne galicia andalucía cataluña castilla españa francia méxico argentina perú north south west east new saint san santa sankt bad",
+}
+CLASS_OF: dict[str, list[str]] = {}
+for _name, _words in CLASSES.items():
+    for _word in _words.split():
+        CLASS_OF.setdefault(_word, []).append(f"c={_name}")
+_STREET_END = re.compile(r"(?:straße|strasse|str|weg|allee|gasse|platz|ufer|ring|damm|steig|graben)$")
+_PARTS = ((re.compile("steuer|ausweis|versicherungsn|versichertenn|reisepass|passeport|passport|pasaporte|identi"), "c=ident"), (re.compile("telefon|teléfon|téléphon|rufnummer|mobil|handynummer"), "c=phone"))
+#: Features that are left out at random in training, so that none is relied on alone.
+LOOSE = ("w=", "e=", "c=")
+_GIVEN = frozenset(name.lower() for names in GIVEN.values() for name in names)
+
+
 def features(kind: str) -> list[str]:
     """Features of a token type."""
     word = kind.lstrip()
@@ -76,7 +104,14 @@ def features(kind: str) -> list[str]:
             shape = "Xx"
         else:
             shape = "x+"
-        out = [f"w={low}", shape, f"{shape}{gap}"]
+        out = [f"w={low}", shape, f"{shape}{gap}", f"{shape}{min(len(word), 6)}"]
+        out += CLASS_OF.get(low, [])
+        if low in _GIVEN or low.partition("-")[0] in _GIVEN:
+            out.append("c=given")
+        if len(low) > 5:
+            if _STREET_END.search(low):
+                out.append("c=street")
+            out += [c for part, c in _PARTS if part.search(low) and c not in out]
         if len(word) > 3:
             out += [f"e={low[-2:]}{shape[0]}", f"e={low[-3:]}{shape[0]}"]
         if "-" in word or "'" in word or "’" in word:
@@ -85,15 +120,35 @@ def features(kind: str) -> list[str]:
     return [f"p={word[0]}", f"p={word[0]}{gap}"]
 
 
+def look(kind: str, known) -> str:
+    """The one class of a token type that neighbours are paired by. `known`: the word features that the
+    training table has often enough."""
+    word = kind.lstrip()
+    gap = "s" if len(word) < len(kind) else "j"
+    feats = features(kind)
+    if feats[0] == "mail":
+        return "mail"
+    if feats[0][0] == "d":
+        return feats[1]
+    if feats[0][0] == "p":
+        return (word[0] if word[0] in ".,;:()/-–+'’\"[]█*…§€&" else "?") + gap
+    kinds = [f for f in feats if f[:2] == "c="]
+    return f"{feats[1]}{gap}{kinds[0] if kinds else 'known' if feats[0] in known else ''}"
+
+
 class Crf:
-    def __init__(self, numbers: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        """weights: offset x feature x label; moves: label x label."""
-        self.numbers, self.weights, self.moves = numbers, weights.astype(np.float32), moves.astype(np.float32)
+    def __init__(self, numbers: dict[str, int], weights: np.ndarray, moves: np.ndarray, looks: dict[str, int], pairs: np.ndarray):
+        """weights: offset x feature x label; moves: label x label; pairs: offset x pair of classes x label."""
+        self.numbers, self.weights, self.moves, self.looks, self.pairs = numbers, weights.astype(np.float32), moves.astype(np.float32), looks, pairs.astype(np.float32)
+        self.clear()
+
+    def clear(self) -> None:
         self.types: dict[str, int] = {}
         self.rows = np.zeros((len(OFFSETS), 1024, len(LABELS)), np.float32)
+        self.look = np.zeros(1024, np.int32)
 
     def __getstate__(self):
-        return self.numbers, self.weights, self.moves
+        return self.numbers, self.weights, self.moves, self.looks, self.pairs
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -105,14 +160,16 @@ class Crf:
             n = self.types[kind] = len(self.types) + 1
             if n >= self.rows.shape[1]:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)], axis=1)
+                self.look = np.concatenate([self.look, np.zeros_like(self.look)])
             known = [self.numbers[f] for f in features(kind) if f in self.numbers]
             self.rows[:, n] = self.weights[:, known].sum(1)
+            self.look[n] = self.looks.get(look(kind, self.numbers), 0)
         return n
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Labels of each sequence of token types; none at all where every label is O."""
         if len(self.types) > 150_000:
-            self.types, self.rows = {}, np.zeros((len(OFFSETS), 1024, len(LABELS)), np.float32)
+            self.clear()
         get, number = self.types.get, self.number
         flat = np.array([get(k) or number(k) for s in sequences for k in s], np.int32)
         sizes = np.array([len(s) for s in sequences], np.int64)
@@ -139,6 +196,10 @@ class Crf:
         score = np.take(self.rows[0], padded[edge + OFFSETS[0] : edge + OFFSETS[0] + steps], axis=0)
         for j, o in enumerate(OFFSETS[1:], 1):
             score += np.take(self.rows[j], padded[edge + o : edge + o + steps], axis=0)
+        looks = self.look[padded]
+        both = looks[:-1] * len(self.looks) + looks[1:]
+        for j, o in enumerate(PAIRS):
+            score += np.take(self.pairs[j], both[edge + o : edge + o + steps], axis=0)
         return score
 
     def _viterbi(self, coded: list[np.ndarray]) -> list[np.ndarray]:
@@ -179,8 +240,9 @@ def label_tokens(spans: list[tuple[int, int]], marked: list[tuple[int, int, str]
     return labels
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 2e-4, least: int = 12, seed: int = 5) -> Crf:
-    """Fit to labelled texts (text, spans). Deterministic."""
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 2e-4, least: int = 12, seed: int = 5, loose: float = 0.25) -> Crf:
+    """Fit to labelled texts (text, spans). Deterministic. In each step a share `loose` of the features
+    of words, endings and word classes is left out."""
     numbers: dict[str, int] = {}
     types: dict[str, int] = {}
     feats: list[list[int]] = [[]]
@@ -195,14 +257,19 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, b
                 # rare words and endings are left out, or names would be learnt by heart
                 feats.append([numbers.setdefault(f, len(numbers)) for f in features(k) if seen[f] >= least])
         data.append((np.array([types[k] for k in kinds]), np.array(label_tokens(spans, marked))))
+    looks: dict[str, int] = {"": 0}
+    classes = np.array([0, *(looks.setdefault(look(k, numbers), len(looks)) for k in types)])
+    n_looks = len(looks)
     n_feats, n_labels, edge = len(numbers), len(LABELS), max(OFFSETS)
     width = max(map(len, feats))
     table = np.full((len(feats), width), n_feats)  # the last row of the weights stays 0
     for i, f in enumerate(feats):
         table[i, : len(f)] = f
+    may_go = np.array([f.startswith(LOOSE) for f in numbers] + [False])
     weights = np.zeros((len(OFFSETS), n_feats + 1, n_labels), np.float32)
     moves = np.zeros((n_labels, n_labels), np.float32)
-    m_w, v_w, m_t, v_t = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)
+    pairs = np.zeros((len(PAIRS), n_looks * n_looks, n_labels), np.float32)
+    m_w, v_w, m_t, v_t, m_p, v_p = (np.zeros_like(x) for x in (weights, weights, moves, moves, pairs, pairs))
     rng, step = np.random.default_rng(seed), 0
     order = sorted(range(len(data)), key=lambda i: len(data[i][0]))
     groups = [order[i : i + batch] for i in range(0, len(order), batch)]
@@ -218,8 +285,13 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, b
                 padded[edge : edge + len(t), i], gold[: len(t), i], live[: len(t), i] = t, y, True
             used, where = np.unique(padded, return_inverse=True)
             where = where.reshape(padded.shape)
-            rows_w = weights[:, table[used]].sum(2)  # offset x type x label
+            gone = may_go & (rng.random(n_feats + 1) < loose)
+            kept = np.where(gone[table[used]], n_feats, table[used])
+            rows_w = weights[:, kept].sum(2)  # offset x type x label
             score = sum(rows_w[j][where[edge + o : edge + o + steps]] for j, o in enumerate(OFFSETS))
+            seen_looks = classes[padded]
+            joint = seen_looks[:-1] * n_looks + seen_looks[1:]
+            score = score + sum(pairs[j][joint[edge + o : edge + o + steps]] for j, o in enumerate(PAIRS))
             # forward and backward with scaling
             e = np.exp(score - score.max(2, keepdims=True))
             trans = np.exp(moves)
@@ -252,13 +324,18 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, b
             for j, o in enumerate(OFFSETS):
                 kinds = where[edge + o : edge + o + steps].ravel()
                 by_type = np.stack([np.bincount(kinds, flat[:, k], len(used)) for k in range(n_labels)], 1)
-                np.add.at(g_w[j], table[used], by_type[:, None, :].astype(np.float32))
+                np.add.at(g_w[j], kept, by_type[:, None, :].astype(np.float32))
             g_w[:, n_feats] = 0
+            g_p = np.zeros_like(pairs)
+            for j, o in enumerate(PAIRS):
+                which = joint[edge + o : edge + o + steps].ravel()
+                for k in range(n_labels):
+                    g_p[j, :, k] = np.bincount(which, flat[:, k], n_looks * n_looks)
             step += 1
             lr = rate * (1 - step / (total + 1))
-            for x, grad_x, m, v in ((weights, g_w / n - decay * weights, m_w, v_w), (moves, g_moves / n - decay * moves, m_t, v_t)):
+            for x, grad_x, m, v in ((weights, g_w / n - decay * weights, m_w, v_w), (moves, g_moves / n - decay * moves, m_t, v_t), (pairs, g_p / n - decay * pairs, m_p, v_p)):
                 m += 0.1 * (grad_x - m)
                 v += 0.01 * (grad_x**2 - v)
                 x += lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     weights[:, n_feats] = 0
-    return Crf(numbers, weights[:, :n_feats], moves)
+    return Crf(numbers, weights[:, :n_feats], moves, looks, pairs)

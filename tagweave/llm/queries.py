@@ -163,10 +163,11 @@ _TERMS = f"""{RECORDS_SQL}, tot AS (SELECT count(DISTINCT id) AS n FROM rec),
  fr AS (SELECT tag, count(*) AS n_elements, count(DISTINCT id) AS n_records FROM el GROUP BY tag),
  mk AS (SELECT *, CASE WHEN n_records > 0.5 * (SELECT n FROM tot) THEN 'common' WHEN n_records < 3 THEN 'rare' END AS mark FROM fr)"""
 
-_SIMILAR = f"""{RECORDS_SQL}, st AS (SELECT id, list(tag) AS tags, count(*) AS n FROM rec GROUP BY id HAVING count(*) >= 4), fq AS (SELECT tag, count(*) AS f FROM rec GROUP BY tag),
- px AS (SELECT id, tag, n FROM (SELECT rec.id, rec.tag, st.n, row_number() OVER (PARTITION BY rec.id ORDER BY f, rec.tag) AS pos FROM rec JOIN st USING (id) JOIN fq USING (tag)) WHERE pos <= n - ceil(0.7 * n - 1e-9) + 1),
- cd AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM px a JOIN px b ON a.tag = b.tag AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9),
- pr AS (SELECT id_a, id_b FROM (SELECT id_a, id_b, len(list_intersect(a.tags, b.tags)) AS c, a.n + b.n AS t FROM cd JOIN st a ON a.id = id_a JOIN st b ON b.id = id_b) WHERE c >= 0.7 * (t - c) - 1e-9)"""
+_SIMILAR = f"""{RECORDS_SQL}, st AS (SELECT id, list(tag ORDER BY tag) AS tags, count(*) AS n FROM rec GROUP BY id HAVING count(*) >= 4), big AS (SELECT rec.id, tag, n FROM rec JOIN st USING (id)),
+ pr AS (SELECT a.id AS id_a, b.id AS id_b FROM big a JOIN big b ON a.tag = b.tag AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*)))"""
+_CLASSES = f"""{_SIMILAR}, cl AS (SELECT id, min(id) OVER (PARTITION BY tags) AS class_id FROM st),
+ ends AS (SELECT id_a AS id FROM pr WHERE id_a IN (SELECT class_id FROM cl) AND id_b IN (SELECT class_id FROM cl) UNION ALL SELECT id_b FROM pr WHERE id_a IN (SELECT class_id FROM cl) AND id_b IN (SELECT class_id FROM cl)),
+ ln AS (SELECT id, count(*) AS n_links FROM ends GROUP BY id)"""
 _TOGETHER = f"""{RECORDS_SQL}, tn AS (SELECT count(DISTINCT id) AS n FROM rec), fq AS (SELECT tag, count(*) AS f FROM rec GROUP BY tag),
  fr AS (SELECT id, tag, f FROM rec JOIN fq USING (tag), tn WHERE f >= 5 AND f >= 0.002 * n),
  pc AS (SELECT a.tag AS tag_a, b.tag AS tag_b, any_value(a.f) AS n_a, any_value(b.f) AS n_b, count(*) AS n_ab, any_value(tn.n) AS n FROM fr a JOIN fr b ON a.id = b.id AND a.tag < b.tag, tn GROUP BY ALL HAVING count(*) >= 5 AND count(*) >= 0.002 * any_value(tn.n))"""
@@ -179,6 +180,7 @@ SQL = {
     "p4_found": f"WITH {ELEMENTS_SQL} SELECT tag FROM el GROUP BY tag HAVING count(*) >= 0.01 * (SELECT count(*) FROM el)",
     "p4_top": f"WITH {ELEMENTS_SQL} SELECT tag, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM el) AS share FROM el GROUP BY tag HAVING count(*) >= 0.01 * (SELECT count(*) FROM el)",
     "p5_found": f"WITH {_SIMILAR} SELECT id_a, id_b FROM pr",
+    "p5_classes": f"WITH {_CLASSES} SELECT cl.id, class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN ln ON ln.id = class_id",
     "p6_found": f"WITH {_TOGETHER} SELECT tag_a, tag_b FROM pc WHERE n_ab * n >= 4 * n_a * n_b",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

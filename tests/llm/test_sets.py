@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagweave.llm import cooccur, iceberg, overlap, queries, similar, terms
@@ -171,6 +172,38 @@ def test_classes_expand_to_every_pair(spark):
     assert "p5_classes" in queries.p5_found.__doc__
 
 
+def test_every_class_expanded_gives_the_exact_pairs(spark):
+    same = {f"q{t}" for t in range(6)}
+    groups = {**{i: same for i in range(1000, 1020)}, **{i: same - {"q0"} for i in range(2000, 2012)}, 3000: same | {"r"}, 4000: {"a", "b", "c", "d"}}
+    frame = spark.createDataFrame([(i, t) for i, s in groups.items() for t in s], "id bigint, item string")
+    found = similar.similar_pairs(frame, 0.7, 4, expand=None).collect()
+    want = {(a, b) for a, b in combinations(sorted(groups), 2) if jaccard(groups[a], groups[b]) >= 0.7}
+    assert {tuple(x) for x in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("size,salted", [(5, False), (40, True), (1000, True)])
+def test_cells_of_large_groups_meet_each_pair_once(monkeypatch, size, salted):
+    """Every token's group counts as large; batches end anywhere; a home cell is dealt out by salts."""
+    r = np.random.default_rng(size)
+    pool = r.integers(-(2**62), 2**62, 25)
+    sets = sorted({tuple(sorted(int(x) for x in r.choice(pool, r.integers(4, 12), replace=False))) for _ in range(250)})
+    for k in range(0, len(sets), 3):
+        sets.append(tuple(sorted({*sets[k][1:], int(pool[k % 25]), int(pool[(k + 7) % 25])})))
+    sets = sorted(set(sets)) + [tuple(sorted(r.integers(0, 2**62, 40).tolist()))]
+    sets.append(sets[-1][:36])
+    monkeypatch.setattr(similar, "HOMES", 3 if salted else 10**9)
+    counts = np.bincount([c & (similar.BUCKETS - 1) for s in sets for c in s], minlength=similar.BUCKETS)
+    batch = pa.RecordBatch.from_arrays([pa.array([list(s) for s in sets], pa.list_(pa.int64())), pa.array(range(len(sets)), pa.int64())], names=["codes", "class"])
+    for pivots in ([], [np.array(s, np.int64) for s in sets[:5]]):
+        laid = similar.place(batch, counts, counts if pivots else np.zeros_like(counts), pivots, 0.6)
+        assert not pivots or len(set(laid.column(1).to_pylist())) > 3
+        n = np.diff(laid.column(6).offsets.to_numpy())
+        laid = laid.take(pa.array(np.lexsort((laid.column(3).to_numpy(), n, laid.column(2).to_numpy(zero_copy_only=False), laid.column(1).to_numpy(), laid.column(0).to_numpy()))))
+        found = [(a, b) for out in similar.stream((laid.slice(k, size) for k in range(0, laid.num_rows, size)), 0.6) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        want = {(a, b) for a, b in combinations(range(len(sets)), 2) if jaccard(set(sets[a]), set(sets[b])) >= 0.6 - 1e-12}
+        assert len(want) > 50 and sorted(found) == sorted(want)
+
+
 def test_similar_pairs_of_nothing(spark):
     frame = spark.createDataFrame([], "id bigint, item string")
     assert similar.similar_pairs(frame).collect() == [] and similar.class_members(frame).collect() == []

@@ -10,10 +10,11 @@ p if, by the triangle inequality,
 
 so y also visits each such cell. A cell's homes are dealt out further by a salt, so that none holds more
 than a bounded number of them however many sets lie alike, and its visitors stream past the homes. A pair is joined in
-the home of the one that comes first by (size, id), at the first token that both share, hence once.
+the home of the one that comes first by (size, id), at the first token that both share.
 
 Within a cell, pairs pass the sizes, the places of the shared token in both sets, the pivots again
-(|d(x, p) - d(y, p)| <= e for each), and are then compared by their tokens. Tokens are 64-bit hashes
+(|d(x, p) - d(y, p)| <= e for each), and are then compared by their tokens from the shared one on, for
+none in front of the first shared one is common. A later one gives a smaller number: the greatest holds. Tokens are 64-bit hashes
 of the items. Rarity comes from exact counts of a fixed number of hash buckets, so what every task needs
 to know does not grow with the data; sharing a bucket costs work, not results.
 """
@@ -32,7 +33,7 @@ from tagweave.session import cut
 
 PIVOTS = 8
 PIVOT_SAMPLE = 400  # sets that the driver chooses the pivots from, at most
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 LARGE = 10_000  # members of a token's group, from which on it is divided by pivots
 GROUP_SAMPLE = 100_000  # records that large groups are looked for in
 HOMES = 40_000  # of a cell and salt, about, at most
@@ -51,6 +52,12 @@ def classes(records: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     return whole, whole.groupBy("codes").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
 
 
+def members(whole: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, class, copies) of the records of the given sets, met by 96 bits of hash, not by the sets."""
+    by = [F.xxhash64("codes").alias("_h"), F.hash("codes").alias("_g")]
+    return whole.select("id", *by).join(sets.select("class", "copies", *by), ["_h", "_g"]).select("id", "class", "copies")
+
+
 def bucket_counts(whole: DataFrame) -> np.ndarray:
     """Records per bucket of token codes: BUCKETS numbers, whatever the size of the table."""
     rows = whole.select(F.explode("codes").alias("c")).groupBy(F.col("c").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas()
@@ -131,7 +138,8 @@ def place(batch: pa.RecordBatch, counts: np.ndarray, sizes: np.ndarray, pivots:
     far = (1 - both / (n[:, None] + width - both)).astype(np.float32)
     far[:, len(pivots) :] = 2
     near, home = far.min(1), far.argmin(1)
-    at = np.flatnonzero(pos < prefix_size(n, threshold)[row])
+    # a token that no other record has brings none together
+    at = np.flatnonzero((pos < prefix_size(n, threshold)[row]) & (counts[codes & (BUCKETS - 1)] > 1))
     large = rarity[at] > 0
     owner, token, place_of = [row[at]], [codes[at]], [pos[at]]
     salts = 1 + rarity[at] // HOMES
@@ -152,56 +160,55 @@ def place(batch: pa.RecordBatch, counts: np.ndarray, sizes: np.ndarray, pivots:
             parts.append(values)
     owner, token, place_of, cell, visits = map(np.concatenate, (owner, token, place_of, cell, visits))
     packed = np.minimum(255, np.round(far * 255)).astype(np.uint8)
-    ordered = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)).astype(np.int32)), pa.array(codes))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(token), pa.array(cell.astype(np.int32)), pa.array(visits), batch.column(1).take(pa.array(owner)), pa.array(place_of.astype(np.int32)), pa.array(packed.view(np.int64)[:, 0][owner]), ordered.take(pa.array(owner))],
-        names=["token", "cell", "visits", "class", "pos", "far", "codes"],
-    )
+    left = n[owner] - place_of - 1
+    rest = np.repeat(starts[owner] + place_of + 1 - (np.cumsum(left) - left), left) + np.arange(left.sum())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)).astype(np.int32)), pa.array(codes[rest]))
+    numbers = [pa.array(x.astype(np.int32)) for x in (place_of, n[owner])]
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(cell.astype(np.int32)), pa.array(visits), batch.column(1).take(pa.array(owner)), *numbers, pa.array(packed.view(np.int64)[:, 0][owner]), lists], names=[*Rows.NAMES, "rest"])
 
 
 class Rows:
-    """Layout rows as arrays."""
+    """Layout rows as arrays; `codes` are those behind the token, `left` their number in each row."""
 
-    NAMES = ("token", "cell", "visits", "class", "pos", "far", "n")
+    NAMES = ("token", "cell", "visits", "class", "pos", "n", "far")
 
-    def __init__(self, parts: dict[str, np.ndarray], codes: np.ndarray):
+    def __init__(self, parts: dict[str, np.ndarray], codes: np.ndarray, left: np.ndarray):
         self.__dict__.update(parts)
-        self.codes, self.start = codes, np.cumsum(self.n) - self.n
+        self.codes, self.left, self.start = codes, left, np.cumsum(left) - left
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Rows:
-        codes, n = flat(batch.column(6))
-        parts = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(cls.NAMES[:6])}
-        return cls(parts | {"n": n.astype(np.int64)}, codes)
+        codes, left = flat(batch.column(7))
+        parts = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(cls.NAMES)}
+        return cls(parts | {x: parts[x].astype(np.int64) for x in ("pos", "n")}, codes, left.astype(np.int64))
 
     def take(self, at: np.ndarray) -> Rows:
-        n = self.n[at]
-        where = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Rows({x: getattr(self, x)[at] for x in self.NAMES}, self.codes[where])
+        left = self.left[at]
+        where = np.repeat(self.start[at] - (np.cumsum(left) - left), left) + np.arange(left.sum())
+        return Rows({x: self.__dict__[x][at] for x in self.NAMES}, self.codes[where], left)
 
     def then(self, more: Rows) -> Rows:
-        return Rows({x: np.concatenate([getattr(self, x), getattr(more, x)]) for x in self.NAMES}, np.concatenate([self.codes, more.codes]))
+        return Rows({x: np.concatenate([self.__dict__[x], more.__dict__[x]]) for x in self.NAMES}, np.concatenate([self.codes, more.codes]), np.concatenate([self.left, more.left]))
 
     def __len__(self) -> int:
         return len(self.n)
 
 
-def shared(rows: Rows, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of common tokens, place in i of the first one) of pairs of rows."""
-    count, first = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-    width = np.maximum(rows.n[i], rows.n[j])
+def shared(rows: Rows, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of common tokens of pairs of rows, from their token on."""
+    count = np.ones(len(i), np.int64)
+    width = np.maximum(rows.left[i], rows.left[j])
     for low, high in ((0, 8), (8, 16), (16, 32)):
         at = np.flatnonzero((width > low) & (width <= high))
+        step = np.arange(high)
         for part in np.array_split(at, 1 + len(at) * high * high // (1 << 24)):
-            step = np.arange(high)
-            a, b = (np.where(step < rows.n[k][:, None], rows.codes[np.minimum(rows.start[k][:, None] + step, len(rows.codes) - 1)], 0) for k in (i[part], j[part]))
-            same = ((a[:, :, None] == b[:, None, :]) & (step < rows.n[j[part]][:, None])[:, None, :]).any(2) & (step < rows.n[i[part]][:, None])
-            count[part], first[part] = same.sum(1), same.argmax(1)
+            a, b = (rows.codes[np.minimum(rows.start[k][:, None] + step, len(rows.codes) - 1)] for k in (i[part], j[part]))
+            same = (a[:, :, None] == b[:, None, :]) & (step < rows.left[i[part]][:, None])[:, :, None] & (step < rows.left[j[part]][:, None])[:, None, :]
+            count[part] += same.sum((1, 2))
     for k in np.flatnonzero(width > 32).tolist():
-        a = rows.codes[rows.start[i[k]] : rows.start[i[k]] + rows.n[i[k]]]
-        same = np.isin(a, rows.codes[rows.start[j[k]] : rows.start[j[k]] + rows.n[j[k]]])
-        count[k], first[k] = same.sum(), same.argmax()
-    return count, first
+        a, b = (rows.codes[rows.start[x] : rows.start[x] + rows.left[x]] for x in (i[k], j[k]))
+        count[k] += len(np.intersect1d(a, b, assume_unique=True))
+    return count
 
 
 def meet(rows: Rows, homes: int, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -238,9 +245,8 @@ def meet(rows: Rows, homes: int, threshold: float) -> Iterator[tuple[np.ndarray,
         ok = ~visits[j] | (rows.n[i] < rows.n[j]) | (which[i] < which[j])  # ties at a visitor
         ok &= (np.abs(far[i] - far[j]) <= edge).all(1)
         i, j = i[ok], j[ok]
-        both, start = shared(rows, i, j)
-        total = rows.n[i] + rows.n[j]
-        ok = (both >= threshold * (total - both) - SLACK) & (start == rows.pos[i])
+        both, total = shared(rows, i, j), rows.n[i] + rows.n[j]
+        ok = both >= threshold * (total - both) - SLACK
         if ok.any():
             x, y, both, total = which[i[ok]], which[j[ok]], both[ok], total[ok]
             yield np.minimum(x, y), np.maximum(x, y), both, both / (total - both)
@@ -277,10 +283,12 @@ def class_links(sets: DataFrame, counts: np.ndarray, large: dict[int, int], pivo
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return stream(batches, threshold)
 
-    laid = sets.select("codes", "class").mapInArrow(lay, f"token bigint, cell int, visits boolean, class {kind}, pos int, far bigint, codes array<bigint>")
+    # (the condition always holds; with it this reads the same columns as the other uses of the sets)
+    laid = sets.filter("copies > 0").select("codes", "class").mapInArrow(lay, f"token bigint, cell int, visits boolean, class {kind}, pos int, n int, far bigint, rest array<bigint>")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = laid.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "visits", F.size("codes"), "class")
-    return ordered.mapInArrow(join, f"class_a {kind}, class_b {kind}, n_common bigint, similarity double")
+    ordered = laid.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "visits", "n", "class")
+    met = ordered.mapInArrow(join, f"class_a {kind}, class_b {kind}, n_common bigint, similarity double")
+    return met.groupBy("class_a", "class_b").agg(F.max("n_common").alias("n_common"), F.max("similarity").alias("similarity"))
 
 
 def _prepared(records: DataFrame, threshold: float, least: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -303,10 +311,8 @@ def similar_pairs(records: DataFrame, threshold: float = 0.7, least: int = 4, pi
     """
     whole, sets, links = _prepared(records, threshold, least, pivots)
     most = (1 << 30) if expand is None else expand
-    # most classes have one record; only the others are looked up, by a hash and then the set
-    several = sets.filter("copies > 1").select("codes", "class", "copies", F.xxhash64("codes").alias("_h"))
-    members = whole.withColumn("_h", F.xxhash64("codes")).join(several, ["_h", "codes"]).select("id", "class", "copies")
-    speakers = cut(members.filter((F.col("copies") <= most) | (F.col("id") == F.col("class"))).select("id", "class", "copies"))
+    own = members(whole, sets.filter("copies > 1"))  # most classes have one record; the others are looked up
+    speakers = cut(own.filter((F.col("copies") <= most) | (F.col("id") == F.col("class"))).select("id", "class", "copies"))
     across = (
         links.join(speakers.select(F.col("class").alias("class_a"), F.col("id").alias("x")), "class_a", "left")
         .join(speakers.select(F.col("class").alias("class_b"), F.col("id").alias("y")), "class_b", "left")
@@ -317,7 +323,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.7, least: int = 4, pi
     else:
         small = speakers.filter(F.col("copies") <= most).groupBy("class").agg(F.array_sort(F.collect_list("id")).alias("ids"))
         within = small.select(F.posexplode("ids").alias("i", "x"), "ids").select("x", F.explode(F.slice("ids", F.col("i") + 2, F.lit(most))).alias("y"))
-    star = members.filter((F.col("copies") > most) & (F.col("id") != F.col("class"))).select(F.col("class").alias("x"), F.col("id").alias("y"))
+    star = own.filter((F.col("copies") > most) & (F.col("id") != F.col("class"))).select(F.col("class").alias("x"), F.col("id").alias("y"))
     pairs = across.unionByName(within).unionByName(star)
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
@@ -326,6 +332,5 @@ def class_members(records: DataFrame, threshold: float = 0.7, least: int = 4, pi
     """(id, class_id, n_links): one row per record that takes part, with the class of equal sets it
     belongs to and the number of other classes that are similar to it."""
     whole, sets, links = _prepared(records, threshold, least, pivots)
-    members = whole.join(sets, "codes").select("id", "class")
     ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    return members.join(ends, "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return members(whole, sets).join(ends, "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -1,4 +1,4 @@
-"""Column expressions on tags and query text; all of them stay inside whole-stage codegen."""
+"""Column expressions on tags and query text, all JVM-side; those on arrays of parts use higher-order functions."""
 
 from __future__ import annotations
 

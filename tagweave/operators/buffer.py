@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.operators.keyed import MapTable, replay
+from tagweave.session import cut
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,10 @@ class BufferedMap:
     def needs_compaction(self) -> bool:
         return self.delta.count() > self.limit
 
+    def folded(self) -> BufferedMap:
+        """The merged state as base, in the session's checkpoint folder, and an empty delta."""
+        return BufferedMap(cut(self.read().df), self.base.sparkSession.createDataFrame([], self.delta.schema), self.key, self.limit)
+
     def compact(self, path: str) -> BufferedMap:
         """Write the merged state to `path` (not the folder of the current base), empty the delta."""
         spark = self.base.sparkSession

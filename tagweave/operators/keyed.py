@@ -113,6 +113,10 @@ class SetTable:
     def is_null(self) -> bool:
         return self.df.isEmpty()
 
+    def null_flag(self) -> DataFrame:
+        """(is_null): one row, as `is_null` without leaving the plan; one row is read at most."""
+        return self.df.limit(1).agg((F.count(F.lit(1)) == 0).alias("is_null"))
+
     def to_rows(self) -> DataFrame:
         return self.df.orderBy("k")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.bits import bit_of, idents_of, word_of
 from tagweave.functions.text import split_console, split_web
+from tagweave.operators.keyed import MapTable
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,18 @@ class TagIndex:
     items: DataFrame
     tags: DataFrame
 
+    @classmethod
+    def empty(cls, spark: SparkSession) -> TagIndex:
+        """Neither items nor tags."""
+        return cls(spark.createDataFrame([], "id bigint, tags array<string>, thumb string, img string"), spark.createDataFrame([], "tag string, id bigint"))
+
+    def add(self, entry_id: int, tags: list[str], thumb: str, img: str) -> TagIndex:
+        """With one more entry: it replaces the item of its id, and takes no tag away."""
+        spark = self.items.sparkSession
+        item = spark.createDataFrame([(entry_id, tags, thumb, img)], "id bigint, tags array<string>, thumb string, img string")
+        pairs = spark.createDataFrame([(t, entry_id) for t in tags], "tag string, id bigint")
+        return TagIndex(MapTable(self.items, "id").insert_many(item).df, self.tags.unionByName(pairs).distinct())
+
     def search(self, wanted: list[str]) -> DataFrame:
         """Ids that hold every wanted tag. Repeated tags count once; an unknown tag, or no tag at
         all, gives no id."""
@@ -39,13 +52,23 @@ class TagIndex:
         return self.items.select("id", "thumb").join(ids.select("id"), "id", "left_semi").orderBy("id")
 
     def console(self, line: str) -> DataFrame:
-        """A console line: either rows (status 'INVALID TAG', tag) or rows ('OK', id, thumb)."""
+        """A console line: rows (status 'INVALID TAG', tag), else rows ('OK', id, thumb); a command lists
+        all items or tags, see `shown`."""
         spark = self.tags.sparkSession
+        if line.strip() in (":showitems", ":showtags"):
+            return self.shown(line.strip())
         wanted = spark.range(1).select(split_console(F.lit(line)).alias("t")).first().t
         bad = self.unknown(wanted).select(F.lit("INVALID TAG").alias("status"), "tag", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("thumb"))
         good = self.lookup_items(self.search(wanted)).select(F.lit("OK").alias("status"), F.lit(None).cast("string").alias("tag"), "id", "thumb")
         return bad.unionByName(good)
 
+    def shown(self, command: str) -> DataFrame:
+        """What the console's ':showitems' and ':showtags' list, in the columns of `console`: status 'ITEM'
+        with id and thumb, or 'TAG' with a tag and each id that holds it."""
+        if command == ":showitems":
+            return self.items.select(F.lit("ITEM").alias("status"), F.lit(None).cast("string").alias("tag"), "id", "thumb")
+        return self.tags.select(F.lit("TAG").alias("status"), "tag", "id", F.lit(None).cast("string").alias("thumb"))
+
     def info(self, *ids: int) -> DataFrame:
         return self.items.filter(F.col("id").isin(*ids)).select("id", "tags", "img")
 
@@ -123,7 +146,7 @@ def respond(index: TagIndex, cmds: DataFrame, key: str = "cmd_id") -> DataFrame:
 
     {"tag":"OK","contents":[[id,thumb],...]} ascending by id, {"tag":"BadTag","contents":[...]} with
     the unknown tags in input order, {"tag":"Info","contents":{id,tags,img}} with null for an unknown
-    id. A response is one message and holds all of its rows.
+    id; a known image without tags or a picture has null in their place. A response is one message and holds all of its rows.
     """
     asked = decode_requests(cmds).filter("kind IS NOT NULL").select(key, "kind", "wanted", "item").dropDuplicates([key])
     searches = asked.filter("kind = 'Search'")
@@ -138,9 +161,10 @@ def respond(index: TagIndex, cmds: DataFrame, key: str = "cmd_id") -> DataFrame:
         .otherwise(F.concat(F.lit('{"tag":"OK","contents":['), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit("]}")))
         .alias("response"),
     )
-    infos = asked.filter("kind = 'Info'").select(key, F.col("item").alias("id")).join(index.items.select("id", "tags", "img"), "id", "left")
-    shown = F.when(F.col("img").isNotNull(), F.struct("id", "tags", "img"))
-    told = infos.select(key, F.concat(F.lit('{"tag":"Info","contents":'), F.coalesce(F.to_json(shown), F.lit("null")), F.lit("}")).alias("response"))
+    infos = asked.filter("kind = 'Info'").select(key, F.col("item").alias("id")).join(index.items.select("id", "tags", "img", F.lit(True).alias("_known")), "id", "left")
+    # a known image without a picture or tags has null fields of its own
+    shown = F.when(F.col("_known"), F.struct("id", "tags", "img"))
+    told = infos.select(key, F.concat(F.lit('{"tag":"Info","contents":'), F.coalesce(F.to_json(shown, {"ignoreNullFields": "false"}), F.lit("null")), F.lit("}")).alias("response"))
     return answered.unionByName(told)
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from tagweave.operators import nodes as nd
 from tagweave.plans.replica import Replica
-from tagweave.plans.snapshot import manifest, root, store, to_fetch
+from tagweave.plans.snapshot import manifest, ranges, root, store, to_fetch
 
 
 def frame(spark, keys):
@@ -31,12 +31,64 @@ def test_trim(spark, least, most, want):
     assert sorted(r.node_id for r in nd.trim(nd.bounds_frame(spark, [5, 7, 10]), least, most).collect()) == want
 
 
+@pytest.mark.parametrize("nested", [4, 256])
+def test_places_over_buckets(spark, monkeypatch, nested):
+    """Binary search, and what is carried over from earlier buckets, with buckets by expression or numpy."""
+    monkeypatch.setattr(nd, "PER_BUCKET", 30)
+    monkeypatch.setattr(nd, "NESTED", nested)
+    r = random.Random(5)
+    keys, probes = r.sample(range(-400, 400), 150), [r.randrange(-450, 450) for _ in range(200)] + [-450, 450]
+    for or_equal in (False, True):
+        got = sorted((x.k, x.place) for x in nd.lower_bound(frame(spark, keys), frame(spark, probes), or_equal).collect())
+        assert got == sorted((p, sum(k <= p if or_equal else k < p for k in keys)) for p in probes)
+    seps = sorted(r.sample(range(-300, 300), 60))
+    got = {x.k: x.node_id for x in nd.node_of_key(frame(spark, [*probes, None]), nd.bounds_frame(spark, seps)).collect()}
+    assert got == {p: sum(s <= p for s in seps) for p in probes} | {None: None}
+    assert nd.lower_bound(frame(spark, []), frame(spark, [3])).first().place == 0
+
+
+def test_parts_of_an_index(spark):
+    rows = lambda df: sorted(map(tuple, df.select("node_id", "lo", "hi").collect()))
+    whole = nd.bounds_frame(spark, [5, 7, 10])
+    for at in (5, 7, 10):
+        left, right = nd.parted(whole, at)
+        n = left.count()
+        assert rows(nd.joined(left, at, right.withColumn("node_id", right.node_id - n))) == rows(whole)
+    first, last = nd.ends(whole)
+    assert (first.first().node_id, last.first().node_id) == (0, 3)
+    assert tuple(nd.size(whole).first()) == (4, 3) and tuple(nd.size(whole.limit(0)).first()) == (0, 0)
+
+
+def test_different_contents_have_different_hashes(spark):
+    contents = [{1: "a,2=b"}, {1: "a", 2: "b"}, {1: None}, {1: ""}, {1: "-"}, {1: "1:a"}, {1: "a"}, {11: "a"}, {1: "1", 2: None}, {1: None, 2: "1"}]
+    hashes = [manifest(spark.createDataFrame(list(c.items()), "k bigint, v string")).first().hash for c in contents]
+    assert len(set(hashes)) == len(contents) and {len(h) for h in hashes} == {64}
+
+
+def test_manifest_of_text_keys(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PER_BUCKET", 40)
+    r = random.Random(8)
+    rows = {"".join(r.choice("abcdé") for _ in range(6)): str(i) for i in range(300)}
+    make = lambda x: ranges(spark.createDataFrame(list(x.items()), "k string, v string"), 8).orderBy("node_id").collect()
+    nodes = make(rows)
+    assert make(dict(sorted(rows.items(), reverse=True))) == nodes
+    assert sum(n.n_rows for n in nodes) == len(rows) and nodes[0].lo is None and nodes[-1].hi is None
+    assert all(a.hi == b.lo for a, b in zip(nodes, nodes[1:]))
+    for n in nodes:
+        assert n.n_rows == sum((n.lo is None or k >= n.lo) and (n.hi is None or k < n.hi) for k in rows)
+    key = sorted(rows)[150]
+    changed = make({**rows, key: "other"})
+    assert len({n.hash for n in changed} - {n.hash for n in nodes}) == 1
+    assert ranges(spark.createDataFrame([], "k string, v string")).collect() == []
+
+
 def test_empty_index(spark):
     nodes = nd.bounds_frame(spark, []).limit(0)
     assert [r.node_id for r in nd.node_of_key(frame(spark, [1]), nodes).collect()] == [None]
 
 
-def test_order_over_buckets(spark):
+def test_order_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PER_BUCKET", 40)
     keys = random.Random(1).sample(range(100_000), 500)
     ordered = sorted(keys)
     got = {r.k: (r.i, r.n) for r in nd.ordered_index(frame(spark, keys), "k").collect()}

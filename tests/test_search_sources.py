@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave import catalog
 from tagweave.functions.text import elements, split_console, split_web, tag_form
 from tagweave.operators.eager import eager_join, with_share
 from tagweave.operators.search import TagIndex, decode_requests, respond, search_batch, top
@@ -89,6 +90,22 @@ def test_protocol(spark, index):
     assert decode_requests(cmds.limit(0)).count() == 0
 
 
+def test_a_known_image_without_a_picture(spark):
+    items = spark.createDataFrame([(7, None, "t", None)], "id bigint, tags array<string>, thumb string, img string")
+    cmds = spark.createDataFrame([(1, '{"tag":"Info","contents":7}'), (2, '{"tag":"Info","contents":8}')], "cmd_id bigint, body string")
+    got = {r.cmd_id: json.loads(r.response)["contents"] for r in respond(TagIndex(items, TagIndex.empty(spark).tags), cmds).collect()}
+    assert got == {1: {"id": 7, "tags": None, "img": None}, 2: None}
+
+
+def test_entries_of_an_empty_index(spark):
+    index = TagIndex.empty(spark)
+    assert ids(index.search(["a"])) == [] and [r.status for r in index.console("a").collect()] == ["INVALID TAG"]
+    index = index.add(1, ["a"], "t1", "m1").add(1, ["b"], "t2", "m2")
+    assert ids(index.search(["a", "b"])) == [1] and index.info(1).first().img == "m2"
+    assert [(r.status, r.id, r.thumb) for r in index.console(":showitems").collect()] == [("ITEM", 1, "t2")]
+    assert sorted((r.status, r.tag, r.id) for r in index.console(" :showtags ").collect()) == [("TAG", "a", 1), ("TAG", "b", 1)]
+
+
 def test_batch_search_is_search(spark):
     r = random.Random(4)
     postings = {(t, i) for i in range(60) for t in "abcdefgh" if r.random() < (0.9 if t < "c" else 0.2)}
@@ -138,6 +155,16 @@ def test_eager_join_is_the_aggregate_of_the_join(spark, how):
         assert row.join_rows == len(rows) and row.right_sum_x == sum(y for _, y in rows)
 
 
+def test_p1_found_runs_its_join(spark, tmp_path):
+    rows = [(1, 5, ["a", "b"]), (2, None, ["a", "c"]), (2, None, ["a", "c"]), (3, 6, None), (4, 5, ["a", None, " "])]
+    spark.createDataFrame(rows, "reply_id bigint, id bigint, tags array<string>").write.parquet(str(tmp_path / "search_response_info.parquet"))
+    found = catalog.p1_found(spark, str(tmp_path))
+    assert sorted(r.tag for r in found.collect()) == ["a", "b", "c"]
+    assert {r.tag: (r.n_elements, r.n_ids) for r in catalog.p1_tags(spark, str(tmp_path)).collect()} == {"a": (4, 1), "b": (1, 1), "c": (2, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join FullOuter" in plan and "isnull(id" in plan and "isnotnull(id" in plan
+
+
 def test_eager_join_of_nothing(spark):
     a = spark.createDataFrame([], "k string, x int")
     assert with_share(eager_join(a, a, "k", distinct_right="x", how="left"), "left_rows").collect() == []

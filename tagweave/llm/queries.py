@@ -21,6 +21,10 @@ def records(spark, d) -> DataFrame:
     return elements(replies(spark, d).filter("id IS NOT NULL"), keep=("id",)).distinct()
 
 
+#: Ranges of 131,072 image ids: these lie densely, so a range is well filled and a task's share is bounded.
+RANGE_BITS = 17
+
+
 # ---- p2 -----------------------------------------------------------------------------------------
 
 
@@ -38,12 +42,12 @@ def compared_members(spark, d) -> DataFrame:
 
 def p2_overlaps(spark, d):
     """Shared identifiers of each pair of compared sets that share any, with the sizes of both."""
-    return overlap.overlap_sizes(compared_members(spark, d))
+    return overlap.overlap_sizes(compared_members(spark, d), bits=RANGE_BITS)
 
 
 def p2_compared(spark, d):
     """Shared identifiers of every pair of compared sets, 0 where they share none or one has no members."""
-    return overlap.overlap_sizes(compared_members(spark, d), wanted=table(spark, d, "compared_sets"))
+    return overlap.overlap_sizes(compared_members(spark, d), bits=RANGE_BITS, wanted=table(spark, d, "compared_sets"))
 
 
 def p2_found(spark, d):
@@ -175,6 +179,7 @@ _TOGETHER = f"""{RECORDS_SQL}, tn AS (SELECT count(DISTINCT id) AS n FROM rec),
 SQL = {
     "p2_found": f"WITH {_MEMBERS} SELECT origin, key_a, key_b FROM os WHERE 3 * n_common >= size_a + size_b - n_common",
     "p2_overlaps": f"WITH {_MEMBERS} SELECT * FROM os",
+    "p2_compared": f"WITH {_MEMBERS}, cs AS (SELECT DISTINCT origin, k FROM compared_sets WHERE origin IS NOT NULL AND k IS NOT NULL) SELECT a.origin, a.k AS key_a, b.k AS key_b, coalesce(x.n, 0) AS size_a, coalesce(y.n, 0) AS size_b, coalesce(n_common, 0) AS n_common FROM cs a JOIN cs b ON a.origin = b.origin AND a.k < b.k LEFT JOIN ov ON ov.origin = a.origin AND ov.key_a = a.k AND ov.key_b = b.k LEFT JOIN sz x ON x.origin = a.origin AND x.k = a.k LEFT JOIN sz y ON y.origin = a.origin AND y.k = b.k",
     "p3_found": f"WITH {_TERMS} SELECT tag, mark FROM mk WHERE mark IS NOT NULL",
     "p3_terms": f"WITH {_TERMS} SELECT tag, n_elements, n_records, mark FROM mk",
     "p4_found": f"WITH {ELEMENTS_SQL} SELECT tag FROM el GROUP BY tag HAVING count(*) >= 0.01 * (SELECT count(*) FROM el)",

@@ -34,8 +34,12 @@ def test_kernels(seed):
     assert overlap.gallop(a, b) == overlap.merge_count(a, b) == overlap.common(a, b) == overlap.common(b, a) == want
     for run in (a, b, a[:1], np.array([5, 2**62])):
         assert np.array_equal(overlap.delta_decode(*overlap.delta_encode(run)), run)
-    for value in (-2000, -5, 0, 17, 9999):
-        assert overlap.seek(b, value) == np.searchsorted(b, value)
+    values = np.array([-2000, -5, 0, 17, 9999])
+    assert overlap.seek(b, values, np.zeros(5, np.int64)).tolist() == np.searchsorted(b, values).tolist()
+    starts = np.maximum(0, np.searchsorted(b, a) - 3)
+    assert overlap.seek(b, a, starts).tolist() == np.searchsorted(b, a).tolist()
+    many = np.unique(r.integers(-1000, 5000, 400))
+    assert overlap.gallop(many, b) == len(np.intersect1d(many, b)) and overlap.gallop(b, many) == len(np.intersect1d(many, b))
     assert overlap.common(a, np.zeros(0, np.int64)) == 0
 
 
@@ -48,8 +52,8 @@ def test_overlap_sizes(spark):
     for g, k, i in rows:
         sets.setdefault((g, k), set()).add(i)
     want = {(g, a, b, len(sets[g, a]), len(sets[g, b]), len(sets[g, a] & sets[g, b])) for g in "xy" for a, b in combinations(sorted(f"k{k}" for k in range(6)), 2) if sets[g, a] & sets[g, b]}
-    for per_range in (100, 10**6):
-        assert {tuple(x) for x in overlap.overlap_sizes(frame, per_range=per_range).collect()} == want
+    for bits in (None, 2, 6, 40):
+        assert {tuple(x) for x in overlap.overlap_sizes(frame, bits=bits, per_range=100).collect()} == want
     assert overlap.overlap_sizes(frame.limit(0)).collect() == []
 
 
@@ -91,14 +95,25 @@ def test_term_frequencies(spark):
     assert terms.frequencies(frame.limit(0)).collect() == []
 
 
-def test_bitmaps_merge_by_union(spark):
-    a = spark.createDataFrame([("t", 1), ("t", 64), ("u", 2)], "tag string, id bigint")
-    b = spark.createDataFrame([("t", 64), ("t", 65), ("v", 3)], "tag string, id bigint")
-    merged = terms.merge(terms.bitmaps(a), terms.bitmaps(b))
-    whole = terms.bitmaps(a.unionByName(b))
-    rows = lambda df: {(x.tag, x.word, x.bits, x.occurrences) for x in df.collect()}
-    assert rows(merged) == rows(whole)
-    assert {(x.tag, x.container): [tuple(w) for w in x.words] for x in terms.containers(whole, words=1).collect()}[("t", 1)] == [(1, 3)]
+def test_containers_merge_by_union(spark):
+    r = random.Random(9)
+    a = [("t", r.randrange(-(2**20), 2**20)) for _ in range(300)] + [("u", i) for i in range(9_000)] + [("n", None), ("n", None), ("edge", 2**62), ("edge", -(2**62))]
+    b = [("t", r.randrange(-(2**20), 2**20)) for _ in range(300)] + [("u", i) for i in range(5_000, 14_000, 2)] + a[:50] + [("full", i) for i in range(4_096)]
+    frames = [spark.createDataFrame(x, "tag string, id bigint").repartition(3) for x in (a, b)]
+    together = terms.merged(terms.containers(frames[0]).unionByName(terms.containers(frames[1]))).collect()
+    want = {}
+    for t, i in a + b:
+        for term in (t, None):
+            held = want.setdefault((term, None if i is None else i >> 16), [0, set()])
+            held[0] += term is not None
+            held[1] |= set() if i is None else {i & 0xFFFF}
+    del want[None, None]
+    got = {(x.term, x.part): (x.occurrences, x.cardinality, x.members) for x in together}
+    assert {k: v[:2] for k, v in got.items()} == {k: (n, len(low)) for k, (n, low) in want.items()} and len(got) == len(together)
+    for k, (_, low) in want.items():
+        owner, back = terms.unpacked(pa.array([bytes(got[k][2])], pa.binary()))
+        assert back.tolist() == sorted(low) and not owner.any()
+        assert len(got[k][2]) == (2 * len(low) if len(low) < terms.DENSE else 8_192)
 
 
 def test_heavy_hitters(spark):

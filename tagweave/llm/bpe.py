@@ -12,7 +12,9 @@ bounded by the live positions, and the pending bytes alone determine everything
 
 Transitions are computed when a byte is first met in a state and kept in a table, as a lazy DFA
 does; a full table is emptied. Encoding is then one table lookup per byte, done in numpy for all
-words of a block of text in step.
+words of a block of text in step. Words of more than LONG bytes (glued text, encoded data), where a step
+would move few words and pending bytes seldom recur, are merged in overlapping windows and joined where
+two windows agree; see `_long`.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
 BLOCK = 1 << 20
 MAX_STATES = 96_000
 UNKNOWN = -1
+LONG = 512  # bytes of a word, from which on it is encoded by windows
+PIECE, MEET = 128, 64  # bytes from window to window, and that two of them share
+NONE = (1 << 31) - 1
 
 
 class Vocabulary:
@@ -58,6 +63,53 @@ class Vocabulary:
             self._known[word] = out
         return out
 
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(left id << 32 | right id, id) of every two tokens that are one together, in order."""
+        both = sorted((self.ranks[t[:i]] << 32 | self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks)
+        return np.array([k for k, _ in both], np.int64), np.array([n for _, n in both], np.int32)
+
+    def together(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, NONE if they aren't a token."""
+        keys, ids = self.pairs
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, ids[at], np.int32(NONE))
+
+    def encode_windows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(does a token begin, where it ends, its id), each window x place, of the encodings of windows of
+        a text: in every round each window makes its next merge."""
+        n, size = len(starts), ends - starts
+        width = int(size.max())
+        column = np.arange(width + 1)[None, :]
+        inside = column < size[:, None]
+        single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        ids = np.where(inside, single[data[np.minimum(starts[:, None] + column, len(data) - 1)]], np.int32(-1))
+        after = np.repeat(column + 1, n, 0).astype(np.int32)
+        before = after - 2
+        rank = np.full((n, width + 1), NONE, np.int32)
+        ok = inside[:, 1:]
+        rank[:, :-1][ok] = self.together(ids[:, :-1][ok], ids[:, 1:][ok])
+        begins = inside.copy()
+        rows = np.arange(n)
+        while len(rows):
+            i = rank[rows].argmin(1) if len(rows) < n else rank.argmin(1)
+            r = rank[rows, i]
+            live = r < NONE
+            rows, i, r = rows[live], i[live], r[live]
+            j = after[rows, i]
+            k = after[rows, j]
+            ids[rows, i], after[rows, i] = r, k
+            before[rows, np.minimum(k, width)] = i
+            rank[rows, j], begins[rows, j] = NONE, False
+            right = k < size[rows]
+            rank[rows, i] = NONE
+            rank[rows[right], i[right]] = self.together(r[right], ids[rows[right], k[right]])
+            h = before[rows, i]
+            left = h >= 0
+            rank[rows[left], h[left]] = self.together(ids[rows[left], h[left]], r[left])
+        return begins, after, ids
+
     def settled(self, pending: bytes) -> tuple[int, ...]:
         """The first tokens of every word that begins with `pending`, as far as they are certain."""
         n = len(pending)
@@ -138,6 +190,14 @@ class Transducer:
             self.emissions, self.n_tokens = {(): 0}, 0
             self.clear()
         codes = np.zeros(2 * len(data), np.int32)
+        long = ends - starts > LONG
+        self._steps(data, starts[~long], ends[~long], codes)
+        if long.any():
+            self._long(data, starts[long], ends[long], codes)
+        return codes
+
+    def _steps(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> None:
+        """Words in step, byte by byte."""
         lengths = ends - starts
         longest = int(lengths.max()) if len(lengths) else 0
         order = np.argsort((longest - lengths).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
@@ -166,7 +226,45 @@ class Transducer:
         for s in np.unique(state[last == UNKNOWN]):
             self.final[s] = self._emission(self.vocabulary.encode_word(self.pending[s]))
         codes[2 * (at + sizes - 1) + 1] = self.final[state]
-        return codes
+
+    def _long(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> None:
+        """Long words, whose pending bytes may never recur, by windows that overlap.
+
+        A sequence of tokens is the encoding of its text if every two neighbours are that of theirs. So
+        the encodings of two windows may be joined in front of any token that both have in the same
+        place. Words with windows that share none go byte by byte.
+        """
+        pieces = [np.append(int(a), self._cuts(data, int(a), int(b))) for a, b in zip(starts, ends)]
+        at = np.concatenate(pieces).astype(np.int64)
+        word = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        final = np.append(word[1:] != word[:-1], True)
+        upto = np.where(final, ends[word], np.append(at[1:], 0) + MEET)
+        begins, after, ids = self.vocabulary.encode_windows(data, at, upto)
+        later = np.flatnonzero(~np.append(True, final[:-1]))  # windows that follow another one of their word
+        step, ahead = np.arange(MEET)[None, :], (at[later] - at[later - 1])[:, None]
+        rows = later[:, None]
+        same = begins[rows - 1, ahead + step] & begins[rows, step] & (after[rows - 1, ahead + step] - ahead == after[rows, step])
+        lost = np.zeros(len(pieces), bool)
+        lost[word[later[~same.any(1)]]] = True
+        low, high = np.zeros(len(at), np.int64), upto - at
+        low[later] = same.argmax(1)
+        high[later - 1] = low[later] + ahead[:, 0]
+        column = np.arange(begins.shape[1])[None, :]
+        row, place = np.nonzero(begins & (column >= low[:, None]) & (column < high[:, None]) & ~lost[word][:, None])
+        found, which = np.unique(ids[row, place], return_inverse=True)
+        emission = np.array([self._emission((int(i),)) for i in found], np.int32)
+        if len(row):
+            codes[2 * (at[row] + place)] = emission[which]
+        if lost.any():
+            self._steps(data, starts[lost], ends[lost], codes)
+
+    @staticmethod
+    def _cuts(data: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Where the windows of a long word begin, behind the first one: PIECE apart, and at characters."""
+        at = np.arange(start + PIECE, end - PIECE - MEET, PIECE)
+        for _ in range(3):
+            at += (data[at] & 0xC0) == 0x80
+        return at
 
 
 @functools.cache

@@ -165,9 +165,9 @@ def frequencies(rows: DataFrame, term: str = "tag", record: str = "id", rare_bel
     are integers. An empty table gives no row.
     """
     each = merged(containers(rows, term, record)).groupBy("term").agg(F.sum("occurrences").alias("n_elements"), F.sum("cardinality").alias("n_records"))
-    # not a filter: with it Spark would make the result twice
-    total = each.agg(F.max(F.when(F.col("term").isNull(), F.col("n_records")))).scalar()
+    # not a filter, and with a condition that always holds: so both uses of `each` read the same columns,
+    # and Spark makes it once
+    total = each.agg(F.max(F.when(F.col("term").isNull() & (F.col("n_elements") >= 0), F.col("n_records")))).scalar()
     share = F.col("n_records") / F.coalesce(total, F.lit(1))
     mark = F.when(share > common_above, "common").when(F.col("n_records") < rare_below, "rare")
-    # (after the aggregate, for the same reason)
     return each.filter("n_elements > 0").select(F.col("term").alias(term), "n_elements", "n_records", mark.alias("mark"))

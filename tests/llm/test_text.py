@@ -48,6 +48,24 @@ def test_special_texts(reference):
     assert got[4] == reference.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("kind", ["cjk", "letters", "base64", "digits", "same", "cycle", "signs", "marks", "blanks"])
+def test_long_runs_of_one_class(reference, kind):
+    r = random.Random(3)
+    make = {
+        "cjk": lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n)),
+        "letters": lambda n: "".join(r.choice("etaoinshrdluETA") for _ in range(n)),
+        "base64": lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)),
+        "digits": lambda n: "".join(r.choice("0123456789") for _ in range(n)),
+        "same": lambda n: "a" * n,
+        "cycle": lambda n: ("abracadabra" * n)[:n],
+        "signs": lambda n: "".join(r.choice("-=*#_.") for _ in range(n)),
+        "marks": lambda n: "".join(r.choice("é́öß字🙂") for _ in range(n)),
+        "blanks": lambda n: "".join(r.choice(" \n\t") for _ in range(n)),
+    }[kind]
+    texts = [make(n) for n in (511, 512, 513, 640, 700, 897, 1500, 4000)] + ["x " + make(3000) + " end"]
+    assert encoded(bpe.encoder(tokens.VOCABULARY), texts) == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_a_full_table_is_emptied(reference):
     small = bpe.Encoder(tokens.VOCABULARY)
     small.transducer.max_states = 50

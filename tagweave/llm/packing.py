@@ -3,9 +3,10 @@
 Each task measures the documents of its own partition and packs them in blocks, so nothing is
 shuffled, no group of documents can grow hot, and the space lost at the edge of a block is at most
 part of one container in some thousands. A block begins with best fit in decreasing order. The local
-search then works on the emptiest container: it moves documents out of it and exchanges one for one,
-two for one or one for two with other underfull containers, always the step that raises the sum of
-squared fills most, until it is empty or no step raises the sum.
+search then goes over the underfull containers, the emptiest first: it moves documents out of it and
+exchanges one for one, two for one or one for two with other underfull containers, always the step that
+raises the sum of squared fills most, until it is empty or no step raises the sum. So free space gathers
+in few containers until these are empty. Rounds are repeated until one changes nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tagweave.llm.tokens import ROWS, VOCABULARY
 CAPACITY = 2048
 BLOCK = 16_384  # documents packed together
 PAIR_ITEMS = 32  # of a container, its largest, are looked at for exchanges of two
-PATIENCE = 40  # containers in a row that the search couldn't empty, before it ends
+ROUNDS = 8  # of the local search over all underfull containers of a block, at most
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -103,38 +104,51 @@ class _Search:
         ]
 
     def run(self) -> list[list[int]]:
+        """Rounds over all underfull bins, the emptiest first; each gives what it can. Ends when the bins are
+        as few as can be, or a round changes nothing, or after ROUNDS."""
         least = -(-int(self.sizes.sum()) // self.capacity)
-        tried = np.zeros(len(self.bins), bool)
-        stuck, table = 0, None
-        while stuck < PATIENCE and np.count_nonzero(self.fill) > least:
-            rest = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~tried)
-            if not len(rest):
+        underfull = lambda: np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+        table = self.table(underfull())
+        for _ in range(ROUNDS):
+            changed = False
+            done = np.zeros(len(self.bins), bool)
+            while np.count_nonzero(self.fill) > least:
+                rest = underfull()
+                rest = rest[~done[rest]]
+                if not len(rest):
+                    break
+                source = int(rest[self.fill[rest].argmin()])
+                done[source] = True
+                moved = False
+                while self.fill[source] > 0 and (step := self.best(source, table)):
+                    self.exchange(source, *step)
+                    table = self.replace_rows(table, step[2])
+                    moved = True
+                if moved:
+                    table = self.replace_rows(table, source)
+                changed |= moved
+            if not changed or np.count_nonzero(self.fill) <= least:
                 break
-            source = int(rest[self.fill[rest].argmin()])
-            tried[source] = True
-            table = table or self.table(np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)))
-            while self.fill[source] > 0 and (step := self.best(source, table)):
-                out, into, target = step
-                for i in out:
-                    self.bins[source].remove(i)
-                for i in into:
-                    self.bins[target].remove(i)
-                self.bins[source] += into
-                self.bins[target] += out
-                moved = int(self.sizes[list(out)].sum()) - (int(self.sizes[list(into)].sum()) if into else 0)
-                self.fill[source] -= moved
-                self.fill[target] += moved
-                table = self.replace_rows(table, target)
-            table = self.replace_rows(table, source)
-            stuck = stuck + 1 if self.fill[source] else 0
         return [b for b in self.bins if b]
 
+    def exchange(self, source: int, out: tuple[int, ...], into: tuple[int, ...], target: int) -> None:
+        for i in out:
+            self.bins[source].remove(i)
+        for i in into:
+            self.bins[target].remove(i)
+        self.bins[source] += into
+        self.bins[target] += out
+        moved = int(self.sizes[list(out)].sum()) - (int(self.sizes[list(into)].sum()) if into else 0)
+        self.fill[source] -= moved
+        self.fill[target] += moved
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, said: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item, start, size, bin) of every piece of items of the given sizes.
 
     An item above the capacity is cut into full pieces and a rest, no other is. An item of size 0 is
-    one piece and lies in the first bin.
+    one piece and lies in the first bin. `said` gets (items, least bins, bins of best fit, bins after the
+    local search).
     """
     sizes = np.asarray(sizes, np.int64)
     pieces = np.maximum(1, -(-sizes // capacity))
@@ -145,10 +159,14 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nd
     full = np.flatnonzero(part == capacity)
     loose = np.flatnonzero((part > 0) & (part < capacity))
     where[full] = np.arange(len(full))
+    first, bins = [], []
     if len(loose):
-        bins = _Search(part[loose], best_fit(part[loose], capacity), capacity).run()
+        first = best_fit(part[loose], capacity)
+        bins = _Search(part[loose], first, capacity).run()
         for n, b in enumerate(bins):
             where[loose[b]] = len(full) + n
+    if said is not None:
+        said.append((len(sizes), -(-int(sizes.sum()) // capacity), len(full) + len(first), len(full) + len(bins)))
     return item, start, part, where
 
 
@@ -191,6 +209,42 @@ def fill_containers(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def block_fill(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
+    """(block, n_texts, least_containers, n_best_fit, n_containers): what the local search gains on each
+    block of `fill_containers`. `block` holds task and number; an empty table gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, task, number, sizes, said = encoder(vocabulary), TaskContext.get().partitionId(), 0, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                sizes.append(tokenizer.encode(batch.slice(at, ROWS).column(0), want_ids=False)[1])
+                if sum(map(len, sizes)) >= block:
+                    pack(np.concatenate(sizes), capacity, said)
+                    sizes = []
+        if sum(map(len, sizes)):
+            pack(np.concatenate(sizes), capacity, said)
+        rows = [((task << 20) + number, *x) for number, x in enumerate(said)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=["block", "n_texts", "least_containers", "n_best_fit", "n_containers"])
+
+    return docs.select(text).mapInArrow(run, "block bigint, n_texts bigint, least_containers bigint, n_best_fit bigint, n_containers bigint")
+
+
+def laws(packed: DataFrame, counted: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """(n_texts, n_overfull, n_cut, n_gaps, n_wrong) of a packing: one row. Texts in it; containers above
+    the capacity; texts within it that were cut; texts whose pieces don't lie end to end; texts whose
+    pieces don't add up to `counted` (key, n_tokens), or that are in one table only. Keys are unique."""
+    boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("n_overfull"))
+    texts = packed.groupBy(key).agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.min("start").alias("a"), F.max(F.col("start") + F.col("n_tokens")).alias("b"))
+    met = texts.join(counted.select(key, F.col("n_tokens").alias("want")), key, "full")
+    each = met.agg(
+        F.count("n").alias("n_texts"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n") <= capacity)).alias("n_cut"),
+        F.count_if((F.col("a") != 0) | (F.col("b") != F.col("n"))).alias("n_gaps"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("want"))).alias("n_wrong"),
+    )
+    return each.crossJoin(boxes)  # two tables of one row
+
+
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(n_containers, n_tokens, least_containers, unused_share) of a packing: one row."""
     each = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))

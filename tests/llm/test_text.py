@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -131,7 +132,21 @@ def test_local_search_empties_bins():
     bins = packing.best_fit(sizes, 2048)
     after = packing._Search(sizes, bins, 2048).run()
     least = -(-int(sizes.sum()) // 2048)
-    assert least <= len(after) < len(bins) and sorted(i for b in after for i in b) == list(range(2000))
+    assert least <= len(after) < len(bins) - 2 and sorted(i for b in after for i in b) == list(range(2000))
+    said = []
+    packing.pack(sizes, 2048, said)
+    assert said == [(2000, least, len(bins), len(after))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_local_search_gains_on_texts():
+    """The texts of the given tables, in one block."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    sizes = bpe.encoder(tokens.VOCABULARY).encode(table.column(0).combine_chunks(), want_ids=False)[1]
+    said = []
+    packing.pack(sizes, 2048, said)
+    (n, least, first, after), = said
+    assert n == len(sizes) and least <= after <= first
 
 
 def test_containers(spark):
@@ -145,6 +160,13 @@ def test_containers(spark):
     assert [r.n_tokens for r in sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.piece)][:2] == [2048, 2048]
     stats = packing.container_fill(packing.fill_containers(docs)).first()
     assert stats.n_tokens == sum(fill.values()) and stats.n_containers == len(fill)
+    blocks = packing.block_fill(docs).collect()
+    assert sum(b.n_texts for b in blocks) == 10 and sum(b.n_containers for b in blocks) >= stats.n_containers - 1
+    named = docs.filter("doc_id IS NOT NULL")
+    assert tuple(packing.laws(packing.fill_containers(named), tokens.count(named)).select("n_texts", "n_overfull", "n_cut", "n_gaps", "n_wrong").first()) == (9, 0, 0, 0, 0)
+    broken = packing.fill_containers(named).filter("piece = 0 OR doc_id <> 7")
+    assert packing.laws(broken, tokens.count(named)).first().n_wrong == 1
+    assert packing.block_fill(docs.limit(0)).collect() == []
     assert packing.fill_containers(docs.limit(0)).collect() == []
     assert packing.container_fill(packing.fill_containers(docs.limit(0))).first().n_containers == 0
 

@@ -166,7 +166,7 @@ def cooccurrences(rows: DataFrame, basket: str = "id", item: str = "tag", min_co
     kept = cut(ordered_index(items.filter(F.col("d") >= need), "item").select("item", "d", F.col("i").alias("code")))
     tested = kept.count()
     lookup = kept.select("item", "code")
-    coded = whole.select("id", F.explode("items").alias("item")).join(lookup, "item").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    coded = cut(whole.select("id", F.explode("items").alias("item")).join(lookup, "item").groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("codes")))
     counted = pair_counts(coded).filter(F.col("n_ab") >= need)
     sized = counted.join(kept.select(F.col("code").alias("a"), F.col("d").alias("n_a")), "a").join(kept.select(F.col("code").alias("b"), F.col("d").alias("n_b")), "b")
     named = counted.join(kept.select(F.col("code").alias("a"), F.col("item").alias("item_a"), F.col("d").alias("n_a")), "a").join(kept.select(F.col("code").alias("b"), F.col("item").alias("item_b"), F.col("d").alias("n_b")), "b")
@@ -197,7 +197,8 @@ def cooccurrences(rows: DataFrame, basket: str = "id", item: str = "tag", min_co
             out["expected"], out["log10_p"] = judge(p)
             yield out
 
-    # the pairs can be far more than the rows: they are counted twice and never stored; the threshold
+    # the pairs can be far more than the rows: they are counted twice, from the stored codes of the
+    # baskets, and never stored; the threshold
     # needs how often each combination of counts occurs only
     kinds = sized.groupBy("n_a", "n_b", "n_ab").agg(F.count(F.lit(1)).alias("times"))
     threshold = threshold_log10(kinds.mapInPandas(tails, "log10_p double, times bigint"), tested * (tested - 1) // 2, rate)

@@ -110,11 +110,14 @@ def carried(df: DataFrame, key: str, mark: Column, name: str, value: Column | No
     bounds = sample_bounds(df, key)
     put = df.withColumn("_v", F.when(mark, value)).withColumn("_b", bucket(F.col(key), bounds))
     inside = Window.partitionBy("_b").orderBy(key, *(then or [])).rowsBetween(Window.unboundedPreceding, 0)
+    put = put.withColumn("_here", F.last("_v", ignorenulls=True).over(inside))
+    if not bounds:
+        return put.withColumn(name, F.col("_here")).drop("_b", "_v", "_here")
     # the buckets are few: what each ends with is handed on to those behind it
     ends = put.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(key))).alias("_end"))
     behind = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select("_b", F.last("_end", ignorenulls=True).over(behind).alias("_carry"))
-    return put.withColumn("_here", F.last("_v", ignorenulls=True).over(inside)).join(before, "_b").withColumn(name, F.coalesce("_here", "_carry")).drop("_b", "_v", "_here", "_carry")
+    return put.join(before, "_b").withColumn(name, F.coalesce("_here", "_carry")).drop("_b", "_v", "_here", "_carry")
 
 
 def trim(nodes: DataFrame, least: object | None = None, most: object | None = None) -> DataFrame:
@@ -158,6 +161,8 @@ def ordered_index(df: DataFrame, key: str) -> DataFrame:
     """`df` (unique, non-null `key`) with `i`, its place from 0 in key order, and `n`, the count."""
     bounds = sample_bounds(df, key)
     put = df.withColumn("_b", bucket(F.col(key), bounds))
+    if not bounds:  # one bucket
+        return put.withColumn("i", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("_b"))).drop("_b")
     sizes = put.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("n"))
@@ -170,6 +175,9 @@ def neighbours(df: DataFrame, key: str) -> DataFrame:
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
     bounds = sample_bounds(keys, key)
     put = keys.withColumn("_b", bucket(F.col(key), bounds))
+    if not bounds:
+        over = Window.partitionBy("_b").orderBy(key)
+        return put.select(F.lag(key).over(over).alias("prev"), F.col(key), F.lead(key).over(over).alias("next"))
     edges = put.groupBy("_b").agg(F.min(key).alias("_min"), F.max(key).alias("_max"))
     over = Window.orderBy("_b")
     edges = edges.select("_b", F.lag("_max").over(over).alias("_before"), F.lead("_min").over(over).alias("_after"))

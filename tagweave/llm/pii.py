@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import crf, pii_examples
 
-EXAMPLES = 24  # fillings of each pattern that the tagger is trained on, and as many sentences without sense
+EXAMPLES = 26  # fillings of each pattern that the tagger is trained on, and as many sentences without sense
 DOCS = 256  # texts whose new segments are decoded together
 MEMORY = 150_000  # segments remembered by a task
 

@@ -296,13 +296,13 @@ PLACES = {
 }
 TOWN_ENDS = {"en": "ford ton ham bury wick mouth field bridge port stead holm by".split(), "de": "burg dorf heim hausen berg stadt feld rode kirchen see hafen bach".split(), "fr": "ville ac court mont ières igny olles ay".split(), "es": "ar illa edo ejo osa era ales uela".split()}
 FIRMS = {
-    "en": (["Ltd", "Limited", "plc", "LLC", "Inc.", "Corp.", "LLP", "& Sons", "Bros.", "Trust"], "Shipping Insurance Steel Foods Motors Textiles Energy Software Logistics Airlines Books Dairy Mills Homes Water Harbour Mutual Builders Capital Bank".split()),
-    "de": (["GmbH", "AG", "KG", "e.V.", "GmbH & Co. KG", "SE", "OHG", "eG", "& Söhne"], "Logistik Versicherung Stahl Handel Bau Chemie Energie Technik Verlag Brauerei Möbel Transport Maschinenbau Werke Bank".split()),
-    "fr": (["SA", "SARL", "S.A.", "SAS", "et Fils", "SCI", "& Cie"], "Assurances Transports Textiles Acier Énergie Éditions Bâtiment Immobilier Conserves Tuilerie Banque Vins".split()),
-    "es": (["S.A.", "S.L.", "SA", "SL", "e Hijos", "S.Coop.", "S.A.U."], "Seguros Transportes Aceros Textiles Energía Construcciones Editorial Inmobiliaria Conservas Molinos Banco Aguas".split()),
+    "en": (["Ltd", "Limited", "plc", "LLC", "Inc.", "Corp.", "LLP", "& Sons", "& Co.", "Group", "Foundation"], "Shipping Insurance Steel Foods Motors Textiles Energy Software Logistics Airlines Books Dairy Homes Capital Bank Media Pharma Retail Hotels Telecom Services".split()),
+    "de": (["GmbH", "AG", "KG", "e.V.", "GmbH & Co. KG", "SE", "OHG", "eG", "& Partner"], "Logistik Versicherung Stahl Handel Bau Chemie Energie Technik Verlag Brauerei Möbel Transport Maschinenbau Werke Bank".split()),
+    "fr": (["SA", "SARL", "S.A.", "SAS", "et Fils", "SCI", "& Cie"], "Assurances Transports Textiles Acier Énergie Éditions Bâtiment Immobilier Hôtels Pharma Banque Vins".split()),
+    "es": (["S.A.", "S.L.", "SA", "SL", "e Hijos", "S.Coop.", "S.A.U."], "Seguros Transportes Aceros Textiles Energía Construcciones Editorial Inmobiliaria Hoteles Farma Banco Bodegas".split()),
 }
 BODIES = {
-    "en": ["The High Court", "The Supreme Court", "The County Court", "The District Court", "The Court of Appeal", "The City Council", "The Labour Tribunal", "The Ministry of Health", "The Tax Office", "The Police Department", "{p} Crown Court", "{p} Employment Tribunal", "{p} Port Authority", "The Port of {p} Authority", "The University of {p}", "The Court of Appeal of {p}", "The Bank of {p}", "The {p} Water Board"],
+    "en": ["The High Court", "The Supreme Court", "The County Court", "The District Court", "The Court of Appeal", "The City Council", "The Labour Tribunal", "The Ministry of Health", "The Tax Office", "The Police Department", "{p} Crown Court", "{p} Employment Tribunal", "{p} Airport Authority", "The Housing Authority of {p}", "The University of {p}", "The Court of Appeal of {p}", "The Bank of {p}", "The {p} School Board"],
     "de": ["Das Landgericht", "Das Amtsgericht", "Das Oberlandesgericht", "Das Finanzamt", "Der Bundesgerichtshof", "Das Arbeitsgericht", "Die Stadtverwaltung", "Das Bundesministerium", "Die Staatsanwaltschaft", "Landgericht {p}", "Amtsgericht {p}", "Das Amtsgericht {p}", "Die Hafenbehörde {p}"],
     "fr": ["La cour d'appel", "Le tribunal judiciaire", "Le conseil municipal", "Le tribunal administratif", "La Cour de cassation", "Le ministère de la Santé", "La préfecture", "Le conseil de prud'hommes", "Tribunal de grande instance", "Cour d'appel", "Le tribunal de commerce", "La chambre sociale"],
     "es": ["El Tribunal Supremo", "La Audiencia Provincial", "El Juzgado de lo Social", "El Ayuntamiento", "El Ministerio de Sanidad", "La Agencia Tributaria", "El Juzgado de Primera Instancia", "La Policía Nacional", "Juzgado de Primera Instancia n.º {x}", "Juzgado de lo Social núm. {x}", "La Sala de lo Civil"],
@@ -340,7 +340,7 @@ PHONES = [
 ]
 IDS = [
     "000-00-0000", "000 00 0000", "000-00-0000", "ZX 00 00 00 Z", "ZX000000Z", "ZX 000000 Z", "000000000", "Z00000000", "ZX0000000", "ZX 0000000", "Z0000000", "00 000 000 000", "00000000000", "00/000/00000", "00 000000 Z 000", "Z00ZX00Z0", "ZXZ000000",
-    "0 00 00 00 000 000 00", "000000000000000", "00ZX00000", "00000000Z", "00000000-Z", "00.000.000-Z", "00.000.000Z", "X-0000000-Z", "Y0000000Z", "00/00000000/00", "ZXQ 000000", "ZX 000000-0000",
+    "0 00 00 00 000 000 00", "000000000000000", "00ZX00000", "00000000Z", "00000000-Z", "00.000.000-Z", "00.000.000Z", "X-0000000-Z", "Y0000000Z", "00/00000000/00", "ZXQ 000000", "000000-0000", "000000-000Z",
 ]
 FILES = ["0000-000-00", "0000-000-00", "0000-0000-0", "00-0000-000", "Z 000/00", "0 Z 000/00", "XX-0000-000", "0000/000", "00-00.000", "0:00-cv-00000", "INV-00000", "00/0000", "XXZ 00/0000", "Z-000/00", "0000-00-000", "F0000-000", "00 O 000/00", "[0000] XXZ 000", "RG 00/00000", "XX00 0000/00-Z0", "000-0000-0000/00"]
 HIDDEN = ["[redacted]", "█████", "████ ██████", "[…]", "***", "N. N.", "X.", "X…", "[name withheld]", "[anonymisiert]", "[nom occulté]", "[nombre omitido]", "(name withheld)", "Y...", "XXX", "[X]"]
@@ -356,10 +356,10 @@ COMMON = {
 _SAME = ["{N}"] * 9 + ["{C}", "{L}", "{t} {S}", "{t} {S}", "{t} {S}", "{E}", "{T}", "{T}", "{A}", "{A}", "{A}", "{o}", "{o}", "{b}", "{d}", "{d}", "{k}", "{x}", "{m}", "{r}", "{q}", "{p}", "{p}", "{v}", "{v}", "{g}", "{u}", "{p}, {z}", "{z} {p}", "{c}", "{c}", "{k}", "{k} [[for|über|de|,]] {m}"]
 #: Slots with the words that often stand before them.
 PARTS = {
-    "en": [*_SAME, "phone {T}", "call {T}", "tel. {T}", "passport {I}", "passport no. {I}", "SSN {I}", "insurance number {I}", "tax number {I}", "identity card {I}", "security number {I}", "at {A}", "of {A}", "c/o {A}", "in {p}", "from {p}", "file {k}", "invoice {k}", "no. {k}", "section {x}", "page {x}", "with {N}", "to {N}", "{N}'s", "{t} {S}'s", "of {o}", "{t} {r}", "witness {N}", "counsel {N}", "judge {S}", "{C} [[Decided|Filed|Heard|Delivered|Argued]] on {d}", "{L} [[Decided|Filed|Heard|Delivered|Argued]] on {d}", "{N} [[Summary|Reasons|Facts|Held|Judgment]]", "{A}, {p}"],
-    "de": [*_SAME, "Tel. {T}", "Telefon {T}", "unter {T}", "Ausweis {I}", "Pass {I}", "Reisepass Nr. {I}", "Steuer-ID {I}", "Steuernummer {I}", "Versicherungsnummer {I}", "in der {A}", "c/o {A}", "in {p}", "aus {p}", "Az. {k}", "Rechnung {k}", "Nr. {k}", "§ {x}", "Seite {x}", "mit {N}", "an {N}", "von {N}", "Frau {S}", "Herrn {S}", "der {o}", "Herr {r}", "Zeuge {N}", "RA {N}", "Richterin {S}", "{N} [[Gründe|Tatbestand|Leitsatz|Tenor|Entscheidung]]", "[[Frist|Frage|Haftung|Einrede]] von Amts wegen", "{A}, {z} {p}", "{A} in {p}"],
-    "fr": [*_SAME, "tél. {T}", "au {T}", "passeport {I}", "passeport n° {I}", "numéro fiscal {I}", "sécurité sociale {I}", "sous le n° {I}", "carte d'identité {I}", "au {A}", "du {A}", "chez {N}", "à {p}", "de {p}", "n° {k}", "facture {k}", "article {x}", "page {x}", "avec {N}", "à {N}", "de {N}", "Mme {S}", "M. {S}", "la société {o}", "M. {r}", "témoin {N}", "Me {S}", "Me {N}", "{N} [[Motifs|Faits|Sommaire|Résumé|Décision]]", "{A} à {p}", "{A} à {p}"],
-    "es": [*_SAME, "tel. {T}", "al {T}", "teléfono {T}", "pasaporte {I}", "DNI {I}", "NIF {I}", "NIE {I}", "documento {I}", "número {I} de la Seguridad Social", "en {A}", "de {A}", "en {p}", "de {p}", "n.º {k}", "factura {k}", "artículo {x}", "folio {x}", "con {N}", "a {N}", "de {N}", "D. {S}", "Sra. {S}", "la mercantil {o}", "D. {r}", "testigo {N}", "don {N}", "doña {N}", "{N} [[Fundamentos|Antecedentes|Extracto|Resumen|Fallo]]", "{A} de {p}", "{A}, de {p}"],
+    "en": [*_SAME, "phone {T}", "call {T}", "tel. {T}", "passport {I}", "passport no. {I}", "SSN {I}", "insurance number {I}", "tax number {I}", "identity card {I}", "security number {I}", "passport number was {I}", "[[tax|insurance|identity]] [[number|card|code]] [[reads|is|of]] {I}", "taxpayer {I}", "at {A}", "of {A}", "c/o {A}", "in {p}", "from {p}", "file {k}", "invoice {k}", "no. {k}", "section {x}", "page {x}", "with {N}", "to {N}", "{N}'s", "{t} {S}'s", "of {o}", "{t} {r}", "witness {N}", "counsel {N}", "judge {S}", "{C} [[Decided|Filed|Heard|Delivered|Argued]] on {d}", "{L} [[Decided|Filed|Heard|Delivered|Argued]] on {d}", "{N} [[Summary|Reasons|Facts|Held|Judgment]]", "{A}, {p}"],
+    "de": [*_SAME, "Tel. {T}", "Telefon {T}", "unter {T}", "Ausweis {I}", "Pass {I}", "Reisepass Nr. {I}", "Steuer-ID {I}", "Steuernummer {I}", "Versicherungsnummer {I}", "[[Passnummer|Steuernummer|Ausweisnummer]] [[ist|war|mit|lautet]] [[der|die|]] {I}", "Personalausweis {I}", "in der {A}", "c/o {A}", "in {p}", "aus {p}", "Az. {k}", "Rechnung {k}", "Nr. {k}", "§ {x}", "Seite {x}", "mit {N}", "an {N}", "von {N}", "Frau {S}", "Herrn {S}", "der {o}", "Herr {r}", "Zeuge {N}", "RA {N}", "Richterin {S}", "{N} [[Gründe|Tatbestand|Leitsatz|Tenor|Entscheidung]]", "[[Frist|Frage|Haftung|Einrede]] von Amts wegen", "{A}, {z} {p}", "{A} in {p}"],
+    "fr": [*_SAME, "tél. {T}", "au {T}", "passeport {I}", "passeport n° {I}", "numéro fiscal {I}", "sécurité sociale {I}", "sous le n° {I}", "numéro [[fiscal|d'assuré|de passeport]] [[est|était|:]] [[le|]] {I}", "pièce d'identité {I}", "carte d'identité {I}", "au {A}", "du {A}", "chez {N}", "à {p}", "de {p}", "n° {k}", "facture {k}", "article {x}", "page {x}", "avec {N}", "à {N}", "de {N}", "Mme {S}", "M. {S}", "la société {o}", "M. {r}", "témoin {N}", "Me {S}", "Me {N}", "{N} [[Motifs|Faits|Sommaire|Résumé|Décision]]", "{A} à {p}", "{A} à {p}"],
+    "es": [*_SAME, "tel. {T}", "al {T}", "teléfono {T}", "pasaporte {I}", "DNI {I}", "NIF {I}", "NIE {I}", "documento {I}", "[[NIF|DNI|número de pasaporte]] [[es|era|con]] [[el|]] {I}", "afiliación {I}", "número {I} de la Seguridad Social", "en {A}", "de {A}", "en {p}", "de {p}", "n.º {k}", "factura {k}", "artículo {x}", "folio {x}", "con {N}", "a {N}", "de {N}", "D. {S}", "Sra. {S}", "la mercantil {o}", "D. {r}", "testigo {N}", "don {N}", "doña {N}", "{N} [[Fundamentos|Antecedentes|Extracto|Resumen|Fallo]]", "{A} de {p}", "{A}, de {p}"],
 }
 LABELS = {"N": "NAME", "C": "NAME", "L": "NAME", "S": "NAME", "T": "PHONE", "E": "EMAIL", "I": "ID", "A": "ADDRESS"}
 ONSETS = "b br c ch cl d dr f fl g gr h j k kl l m n p pr qu r s sch st t tr v w y z".split()
@@ -435,7 +435,7 @@ class Maker:
         r = self.r
         forms, trades = FIRMS[lang]
         if lang == "en" and r.random() < 0.08:
-            return r.choice(["Port of {} Authority", "Bank of {}", "The {} Canal Company", "{} Water Company", "Guild of {} Builders"]).format(self.place(lang))
+            return r.choice(["Bank of {}", "The {} Railway Company", "{} Airport Authority", "Chamber of Commerce of {}", "The {} Electricity Board", "Friends of {} Society"]).format(self.place(lang))
         name = r.choice([self.place(lang), self.syllables(1, 2), r.choice(SURNAMES[lang]), f"{self.syllables(1, 2)} {self.syllables(1, 2)}", r.choice(["Royal", "Nova", "Delta", "Atlas", "Union", "Alpha"])])
         trade = " " + r.choice(trades) if r.random() < 0.65 else ""
         if lang in ("fr", "es") and trade and r.random() < 0.5:
@@ -510,8 +510,8 @@ class Maker:
             dotted = host.replace(".", r.choice(["[dot]", "(dot)"]))
             mail = r.choice([f"{local}@{host}"] * 6 + [f"{local} (at) {host}", f"{local} @ {host}", f"{local}[at]{dotted}", f"{local} [at] {host}", f"{local}(at){dotted}"])
             return mail.upper() if r.random() < 0.12 else mail
-        if slot == "I":
-            return self.shape(IDS)
+        if slot == "I":  # now and then with the code of a country in front
+            return (self.shape(["ZX "]) if r.random() < 0.12 else "") + self.shape(IDS)
         if slot == "A":
             street, n = self.street(lang), self.shape(["0", "00", "00", "000", "00"]).lstrip("0") or "7"
             if lang == "en":

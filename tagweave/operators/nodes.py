@@ -162,7 +162,7 @@ def ordered_index(df: DataFrame, key: str) -> DataFrame:
     bounds = sample_bounds(df, key)
     put = df.withColumn("_b", bucket(F.col(key), bounds))
     if not bounds:  # one bucket
-        return put.withColumn("i", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("_b"))).drop("_b")
+        return put.withColumn("i", F.row_number().over(Window.partitionBy("_b").orderBy(key)).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("_b"))).drop("_b")
     sizes = put.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("n"))

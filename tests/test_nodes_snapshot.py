@@ -91,7 +91,11 @@ def test_order_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(nd, "PER_BUCKET", 40)
     keys = random.Random(1).sample(range(100_000), 500)
     ordered = sorted(keys)
-    got = {r.k: (r.i, r.n) for r in nd.ordered_index(frame(spark, keys), "k").collect()}
+    whole = nd.ordered_index(frame(spark, keys), "k")
+    monkeypatch.setattr(nd, "PER_BUCKET", 10**6)
+    assert dict(nd.ordered_index(frame(spark, keys), "k").dtypes) == dict(whole.dtypes)
+    monkeypatch.setattr(nd, "PER_BUCKET", 40)
+    got = {r.k: (r.i, r.n) for r in whole.collect()}
     assert got == {k: (i, 500) for i, k in enumerate(ordered)}
     near = {r.k: (r.prev, r.next) for r in nd.neighbours(frame(spark, keys + keys[:5]), "k").collect()}
     assert near == {k: (ordered[i - 1] if i else None, ordered[i + 1] if i < 499 else None) for i, k in enumerate(ordered)}

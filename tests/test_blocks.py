@@ -46,8 +46,36 @@ def folder(spark, tmp_path_factory):
     return d, {n: (w, sorted(i for i, own in held.items() if w and set(w) <= own)) for n, w in enumerate(asked)}, last
 
 
+def test_responses_shuffle_no_row_per_hit(spark, folder):
+    d, want, last = folder
+    got, records = shuffled(spark, lambda: {r.cmd_id: json.loads(r.response) for r in catalog.respond_requests(spark, d).collect()})
+    assert got.pop(10_000)["tag"] == "Info" and set(got) == set(want)
+    for n, (asked, ids) in want.items():
+        if "zz" in asked:
+            assert got[n] == {"tag": "BadTag", "contents": ["zz", "zz"]}
+        else:
+            assert got[n] == {"tag": "OK", "contents": [[i, last[i]] for i in ids if i in last]}
+    assert sum(len(ids) for _, ids in want.values()) > 200_000 and records < 50_000
+
+
 def test_counts_shuffle_no_row_per_hit(spark, folder):
     d, want, _ = folder
     got, records = shuffled(spark, lambda: {r.cmd_id: (r.n, r.first_id, r.last_id) for r in catalog.search_requests(spark, d).collect()})
     assert got == {n: (len(ids), ids[0], ids[-1]) for n, (_, ids) in want.items() if ids}
     assert records < 20_000
+
+
+def test_many_requests_for_the_same_tags(spark, tmp_path):
+    rows = [(i, i, ["x"], "u") for i in range(3)]
+    spark.createDataFrame(rows, "reply_id bigint, id bigint, tags array<string>, imgurl string").write.parquet(f"{tmp_path}/search_response_info.parquet")
+    spark.createDataFrame([(n, '{"tag":"Search","contents":["x"]}') for n in range(1_000)], "cmd_id bigint, body string").write.parquet(f"{tmp_path}/user_cmds.parquet")
+    got = catalog.respond_requests(spark, str(tmp_path)).collect()
+    assert sorted(r.cmd_id for r in got) == list(range(1_000)) and {r.response for r in got} == {'{"tag":"OK","contents":[[0,"u"],[1,"u"],[2,"u"]]}'}
+
+
+def test_requests_to_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "reply_id bigint, id bigint, tags array<string>, imgurl string").write.parquet(f"{tmp_path}/search_response_info.parquet")
+    spark.createDataFrame([(1, '{"tag":"Search","contents":["x"]}'), (2, '{"tag":"Search","contents":[]}')], "cmd_id bigint, body string").write.parquet(f"{tmp_path}/user_cmds.parquet")
+    assert catalog.search_requests(spark, str(tmp_path)).collect() == []
+    got = {r.cmd_id: json.loads(r.response) for r in catalog.respond_requests(spark, str(tmp_path)).collect()}
+    assert got == {1: {"tag": "BadTag", "contents": ["x"]}, 2: {"tag": "OK", "contents": []}}

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from tagweave import catalog
+from tagweave.operators.blocks import tag_sets, tell_hits
 
 
 def shuffled(spark, run):
@@ -73,6 +74,14 @@ def test_many_requests_for_the_same_tags(spark, tmp_path):
     assert sorted(r.cmd_id for r in got) == list(range(1_000)) and {r.response for r in got} == {'{"tag":"OK","contents":[[0,"u"],[1,"u"],[2,"u"]]}'}
 
 
+def test_copies_are_made_for_few_requests_at_a_time(spark):
+    records = spark.createDataFrame([(1, ["x"]), (2, ["x", "y"])], "id bigint, tags array<string>")
+    asked = spark.createDataFrame([(n, ["x"] if n % 3 else ["y"]) for n in range(900)], "k bigint, wanted array<string>")
+    pieces = records.selectExpr("id", "concat('p', id) AS piece")
+    told = tell_hits(records, tag_sets(asked, "k", "wanted"), pieces, "k", "[", "]", at_once=20)
+    assert {r.k: r.response for r in told.collect()} == {n: "[p1,p2]" if n % 3 else "[p2]" for n in range(900)} and told.count() == 900
+
+
 def test_requests_to_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "reply_id bigint, id bigint, tags array<string>, imgurl string").write.parquet(f"{tmp_path}/search_response_info.parquet")
     spark.createDataFrame([(1, '{"tag":"Search","contents":["x"]}'), (2, '{"tag":"Search","contents":[]}')], "cmd_id bigint, body string").write.parquet(f"{tmp_path}/user_cmds.parquet")

@@ -1,9 +1,12 @@
 """Batch search by blocks: what it shuffles, and its answers."""
 
+import hashlib
 import json
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave import catalog
 from tagweave.operators.blocks import tag_sets, tell_hits
@@ -82,6 +85,39 @@ def test_copies_are_made_for_few_requests_at_a_time(spark):
     assert {r.k: r.response for r in told.collect()} == {n: "[p1,p2]" if n % 3 else "[p2]" for n in range(900)} and told.count() == 900
 
 
+def told_by_tasks(told):
+    """Responses by key, bytes of each task."""
+    rows = told.select("k", F.spark_partition_id().alias("task"), F.md5("response").alias("text"), F.octet_length("response").alias("size")).collect()
+    tasks = Counter()
+    for r in rows:
+        tasks[r.task] += r.size
+    return {r.k: r.text for r in rows}, tasks, len(rows)
+
+
+def test_a_task_gives_few_large_responses(spark):
+    """Parquet's writer looks at its buffers after 100 rows; all responses of a task may be in them."""
+    records = spark.createDataFrame([(1, ["x"]), (2, ["x", "y"])], "id bigint, tags array<string>")
+    asked = spark.createDataFrame([(n, ["x"] if n % 100 else ["y"]) for n in range(200)], "k bigint, wanted array<string>")
+    pieces = records.selectExpr("id", "repeat(cast(id AS string), 1000000) AS piece")
+    got, tasks, n = told_by_tasks(tell_hits(records, tag_sets(asked, "k", "wanted"), pieces, "k", "[", "]"))
+    one, two = b"1" * 1_000_000, b"2" * 1_000_000
+    both, last = (hashlib.md5(b"[" + t + b"]").hexdigest() for t in (one + b"," + two, two))
+    assert n == 200 and got == {k: both if k % 100 else last for k in range(200)}
+    assert max(tasks.values()) <= 64_000_000 and len(tasks) < 30
+
+
+def test_responses_of_tasks_that_hold_parts_of_sets(spark):
+    rows = [(i * 7, [t for k, t in enumerate("abcde") if (i + k) % 3]) for i in range(400)]
+    records = spark.createDataFrame(rows, "id bigint, tags array<string>")
+    wanted = [["a"], ["a", "b"], ["e", "d"], ["c", "a", "e"], ["c", "zz"], [], ["d"]]
+    asked = spark.createDataFrame([(n, wanted[n * n % 7]) for n in range(150)] + [(None, ["b"])], "k bigint, wanted array<string>")
+    pieces = records.selectExpr("id", "concat('é', id) AS piece")
+    got, tasks, n = told_by_tasks(tell_hits(records, tag_sets(asked, "k", "wanted"), pieces, "k", "[", "]", task=6_000))
+    text = {tuple(w): "[" + ",".join(f"é{i}" for i, own in rows if w and set(w) <= set(own)) + "]" for w in [*wanted, ["b"]]}
+    assert n == 151 and got == {k: hashlib.md5(text[tuple(wanted[k * k % 7] if k is not None else ["b"])].encode()).hexdigest() for k in [*range(150), None]}
+    assert max(tasks.values()) <= 6_000 and len(tasks) > 10
+
+
 def test_requests_to_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "reply_id bigint, id bigint, tags array<string>, imgurl string").write.parquet(f"{tmp_path}/search_response_info.parquet")
     spark.createDataFrame([(1, '{"tag":"Search","contents":["x"]}'), (2, '{"tag":"Search","contents":[]}')], "cmd_id bigint, body string").write.parquet(f"{tmp_path}/user_cmds.parquet")
